@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, planes, topk, toxicity, url_filter
+from . import decontam, mixing, neardup, planes, topk, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,14 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op9_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=85)
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_table(spark, sf_dir, "pages"), url_filter.RULES)
 
@@ -39,11 +47,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_planes": op3_planes,
     "op4_mixing": op4_mixing,
     "op5_topk": op5_topk,
+    "op8_decontam": op8_decontam,
+    "op9_neardup": op9_neardup,
     "op10_url_filter": op10_url_filter,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_mixing": mixing.ORACLE,
     "op5_topk": topk.ORACLE,
+    "op8_decontam": decontam.ORACLE,
+    "op9_neardup": neardup.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
 }
