@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, mixing, neardup, planes, topk, toxicity, url_filter
+from . import decontam, linededup, mixing, neardup, planes, topk, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op2_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.dedup_lines(_table(spark, sf_dir, "documents"))
+
+
 def op3_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planes.encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -44,6 +48,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
+    "op2_linededup": op2_linededup,
     "op3_planes": op3_planes,
     "op4_mixing": op4_mixing,
     "op5_topk": op5_topk,
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_linededup": linededup.ORACLE,
     "op4_mixing": mixing.ORACLE,
     "op5_topk": topk.ORACLE,
     "op8_decontam": decontam.ORACLE,
