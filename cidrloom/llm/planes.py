@@ -20,7 +20,10 @@ task returned are in the manifest, so lost or repeated tasks leave no trace.
 from __future__ import annotations
 
 import io
+import itertools
 import json
+import os
+import re
 import struct
 import uuid
 import zlib
@@ -33,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textwords import text_column
+from .textwords import split_words, text_column
 from .workspace import filesystem, new_folder, partitions
 
 MAGIC = b"CLP1"
@@ -141,46 +144,149 @@ class PlaneReader:
                 held, n_held = [held[0][c:]], n_held - c
 
 
+#: White space other than single spaces and newlines between other characters.
+_ODD = re.compile(r"\A\s|\s\Z|\s\s|[^\S \n]|[\x1c-\x1f\x85\u180e\u200b\ufeff]")
+_ALNUM = np.array([c < 128 and chr(c).isalnum() for c in range(256)])
+_TAIL = np.array([33 <= c < 127 and not chr(c).isalnum() for c in range(256)])
+_SPACED, _BARE = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
+
+
+class PieceTable:
+    """Open-addressing table from 64-bit hashes of pieces to their ids, all in arrays."""
+
+    def __init__(self, bits: int = 22):
+        self.bits = bits
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys = np.zeros(1 << self.bits, np.uint64)
+        self.at = np.zeros(1 << self.bits, np.int32)
+        self.n = self.used = 0
+        self.offset, self.length = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
+        self.ids = np.zeros(1 << 18, "<u4")
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """Entry of each hash, -1 where there is none."""
+        out = np.full(len(h), -1, np.int32)
+        todo, slot = np.arange(len(h)), (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(todo):
+            k = self.keys[slot]
+            hit = k == h[todo]
+            out[todo[hit]] = self.at[slot[hit]]
+            go = ~hit & (k != 0)
+            todo, slot = todo[go], (slot[go] + 1) & ((1 << self.bits) - 1)
+        return out
+
+    def add(self, h: np.ndarray, ids: list[list[int]]) -> None:
+        """Insert distinct new hashes."""
+        size = np.array([len(x) for x in ids], np.int32)
+        flat = np.fromiter(itertools.chain.from_iterable(ids), "<u4", int(size.sum()))
+        while len(self.offset) < self.n + len(h):
+            self.offset, self.length = np.resize(self.offset, 2 * len(self.offset)), np.resize(self.length, 2 * len(self.length))
+        while len(self.ids) < self.used + len(flat):
+            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        new = np.arange(self.n, self.n + len(h))
+        self.ids[self.used : self.used + len(flat)] = flat
+        self.offset[new], self.length[new] = self.used + np.cumsum(size) - size, size
+        self.n, self.used = self.n + len(h), self.used + len(flat)
+        todo, slot = np.arange(len(h)), (h >> np.uint64(64 - self.bits)).astype(np.int64)
+        while len(todo):
+            free = self.keys[slot] == 0
+            self.keys[slot[free]] = h[todo[free]]
+            mine = self.keys[slot] == h[todo]
+            self.at[slot[mine]] = new[todo[mine]]
+            todo, slot = todo[~mine], (slot[~mine] + 1) & ((1 << self.bits) - 1)
+
+    def ids_of(self, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of entries, one after the other, and how many each has."""
+        n = self.length[entry]
+        ends = np.cumsum(n)
+        at = np.repeat(self.offset[entry] - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0)
+        return self.ids[at], n
+
+
 class Encoder:
     """Ids of texts by a byte-level BPE file of the ``tokenizers`` library.
 
-    Its pattern always starts a new piece at a space that a printable ASCII
-    character or a letter follows, so a text is cut there and each piece is
-    encoded once; up to ``limit`` pieces are remembered.
+    Its pattern always starts a new piece at a single space or newline between
+    other characters, and between a letter or digit and the punctuation that
+    ends a word. Texts are cut there, and every different piece is encoded by
+    the library once and remembered under its 64-bit hash; the table starts
+    anew when half full. Texts with other white space go to the library whole.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.limit = limit
-        self.memo: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch(texts, add_special_tokens=False)]
+        self.table = PieceTable()
+
+    def _library(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, h: np.ndarray, start: np.ndarray, end: np.ndarray, spaced: np.ndarray, raw: bytes) -> None:
+        if self.table.n + len(h) > 1 << (self.table.bits - 1):
+            self.table.clear()
+        pieces = [(" " if sp else "") + raw[a:b].decode() for a, b, sp in zip(start.tolist(), end.tolist(), spaced.tolist())]
+        self.table.add(h, self._library(pieces))
+
+    def encode_column(self, col: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text of a column of large strings, and the end id."""
+        end_id = np.array([END_ID], "<u4")
+        for words in split_words(col, False, max_bytes=1 << 19):
+            texts = col.slice(words.lo, words.hi - words.lo).to_pylist()
+            odd = np.array([bool(_ODD.search(t)) for t in texts])
+            data, start, end = words.data, words.start, words.end
+            row = np.repeat(np.arange(len(texts)), np.diff(words.bounds))
+            first = np.zeros(len(start), bool)
+            first[words.bounds[:-1][np.diff(words.bounds) > 0]] = True
+            before = data[np.maximum(start - 1, 0)]
+            spaced, newline = ~first & (before == 0x20), ~first & (before == 0x0A)
+            stop = end.copy()  # where the word's body ends and its punctuation starts
+            going = np.arange(len(start))
+            while len(going):
+                going = going[(stop[going] > start[going]) & _TAIL[data[stop[going] - 1]]]
+                stop[going] -= 1
+            last = data[np.maximum(stop - 1, 0)]
+            latin = (data[np.maximum(stop - 2, 0)] == 0xC3) & (last >= 0x80) & (last != 0x97) & (last != 0xB7) & (stop - start >= 2)
+            stop = np.where((stop > start) & (_ALNUM[last] | latin), stop, end)
+            tail = stop < end
+            h = words.hashes(start, stop) ^ np.where(spaced, _SPACED, _BARE)
+            ht = words.hashes(stop, end) ^ _BARE
+            hn = words.hashes(np.maximum(start - 1, 0), start) ^ _BARE
+            every = np.concatenate([h, ht[tail], hn[newline]])
+            found = self.table.find(every)
+            if (found < 0).any():
+                spans = [np.concatenate(x) for x in ((start, stop[tail], start[newline] - 1), (stop, end[tail], start[newline]), (spaced, np.zeros(int(tail.sum() + newline.sum()), bool)))]
+                lost = np.flatnonzero(found < 0)
+                _, one = np.unique(every[lost], return_index=True)
+                n = self.table.n
+                new = lost[one]
+                self._learn(every[new], *(x[new] for x in spans), data.tobytes())
+                if self.table.n < n + len(new):  # it started anew
+                    found = self.table.find(every)
+                    lost = np.flatnonzero(found < 0)
+                    if len(lost):
+                        _, one = np.unique(every[lost], return_index=True)
+                        new = lost[one]
+                        self._learn(every[new], *(x[new] for x in spans), data.tobytes())
+                found = self.table.find(every)
+            entry = np.full((len(start), 3), -1, np.int32)
+            entry[:, 1] = found[: len(h)]
+            entry[tail, 2] = found[len(h) : len(h) + int(tail.sum())]
+            entry[newline, 0] = found[len(h) + int(tail.sum()) :]
+            here = entry >= 0
+            ids, n = self.table.ids_of(entry[here])
+            each = np.bincount(np.repeat(row, 3)[here.ravel()], n, len(texts)).astype(np.int64)
+            at = np.concatenate([[0], np.cumsum(each)])
+            for i, t in enumerate(texts):
+                mine = np.array(self._library([t])[0], "<u4") if odd[i] else ids[at[i] : at[i + 1]]
+                yield np.concatenate([mine, end_id])
 
     def encode(self, text: str) -> np.ndarray:
-        """Ids of ``text`` and the end id."""
-        first, *rest = text.split(" ")
-        pieces: list[str] = []
-        for p in rest:
-            if p and ("!" <= p[0] <= "~" or p[0].isalpha()):
-                pieces.append(p)
-            elif pieces:
-                pieces[-1] += " " + p
-            else:
-                first += " " + p
-        memo = self.memo
-        new = {p for p in pieces if p not in memo}
-        if new:
-            if len(memo) + len(new) > self.limit:
-                memo.clear()
-                new = set(pieces)
-            names = list(new)
-            memo.update(zip(names, self._encode([" " + p for p in names])))
-        ids = (self._encode([first])[0] if first else b"") + b"".join(map(memo.__getitem__, pieces))
-        return np.frombuffer(ids + END_ID.to_bytes(4, "little"), "<u4")
+        return next(self.encode_column(pa.array([text], pa.large_string())))
 
 
 _encoders: dict[str, Encoder] = {}
@@ -201,8 +307,8 @@ def _write_shards(uri: str, tokenizer: str, mode: str, chunk: int):
         with fs.open_output_stream(f"{folder}/{name}") as sink:
             out = PlaneWriter(sink, mode, chunk)
             for b in batches:
-                for d, t in zip(b.column("doc_id").to_pylist(), text_column(b)):
-                    out.add(d, enc.encode(t.as_py()))
+                for d, ids in zip(b.column("doc_id").to_pylist(), enc.encode_column(text_column(b))):
+                    out.add(d, ids)
             out.close()
         yield pa.RecordBatch.from_pylist(
             [{"shard": shard, "name": name, "n_docs": len(out.docs), "n_ids": out.total}],
