@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, linededup, mixing, neardup, planes, topk, toxicity, url_filter
+from . import decontam, linededup, mixing, neardup, planes, substrings, topk, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(_table(spark, sf_dir, "documents"))
+
+
 def op8_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contained_items(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
@@ -52,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_planes": op3_planes,
     "op4_mixing": op4_mixing,
     "op5_topk": op5_topk,
+    "op7_substrings": op7_substrings,
     "op8_decontam": op8_decontam,
     "op9_neardup": op9_neardup,
     "op10_url_filter": op10_url_filter,
@@ -61,6 +66,7 @@ ORACLE_SQL: dict[str, str] = {
     "op2_linededup": linededup.ORACLE,
     "op4_mixing": mixing.ORACLE,
     "op5_topk": topk.ORACLE,
+    "op7_substrings": substrings.ORACLE,
     "op8_decontam": decontam.ORACLE,
     "op9_neardup": neardup.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
