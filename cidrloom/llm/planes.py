@@ -318,10 +318,11 @@ def _write_shards(uri: str, tokenizer: str, mode: str, chunk: int):
     return run
 
 
-def write_ids(docs: DataFrame, uri: str, tokenizer: str, mode: str = "byte", chunk: int = CHUNK) -> list[dict]:
+def write_ids(docs: DataFrame, uri: str, tokenizer: str, mode: str = "byte", chunk: int = CHUNK, ordered: bool = True) -> list[dict]:
     """Encode ``docs`` (doc_id, text) into shards in ascending doc_id order; returns the manifest.
 
-    Null ids come first; rows of equal ids are in order of their texts. A null
+    If not ``ordered``, shards and documents stay in the order in which the
+    table is read, which keeps a shuffled table shuffled. Null ids come first; rows of equal ids are in order of their texts. A null
     text is an empty one, and every document ends with id 0, so an empty one
     has that id alone. An empty table gives shards without documents. Other
     columns are not looked at. The manifest (shard, name, n_docs, n_ids, start)
@@ -329,11 +330,11 @@ def write_ids(docs: DataFrame, uri: str, tokenizer: str, mode: str = "byte", chu
     """
     fs, folder = filesystem(uri)
     fs.create_dir(folder, recursive=True)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    if ordered:
+        rows = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id", "text").sortWithinPartitions("doc_id", "text")
     rows = (
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .repartitionByRange(partitions(docs.sparkSession), "doc_id", "text")
-        .sortWithinPartitions("doc_id", "text")
-        .mapInArrow(_write_shards(uri, tokenizer, mode, chunk), "shard int, name string, n_docs long, n_ids long")
+        rows.mapInArrow(_write_shards(uri, tokenizer, mode, chunk), "shard int, name string, n_docs long, n_ids long")
         .collect()  # one row a shard
     )
     manifest, start = [], 0
@@ -376,11 +377,11 @@ def read_ids(spark, uri: str) -> DataFrame:
     return index.mapInArrow(_read_shards(uri), "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def encode_documents(docs: DataFrame, tokenizer: str, mode: str = "byte") -> DataFrame:
+def encode_documents(docs: DataFrame, tokenizer: str, mode: str = "byte", ordered: bool = True) -> DataFrame:
     """Write ``docs`` as token ids to the shared folder and return what its files hold."""
     spark = docs.sparkSession
     uri = new_folder(spark, "ids")
-    write_ids(docs, uri, tokenizer, mode)
+    write_ids(docs, uri, tokenizer, mode, ordered=ordered)
     return read_ids(spark, uri)
 
 

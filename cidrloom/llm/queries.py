@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, linededup, mixing, neardup, planes, substrings, topk, toxicity, url_filter
+from . import decontam, linededup, lm, mixing, neardup, planes, substrings, topk, toxicity, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,10 @@ def op5_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op6_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(_table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_planes": op3_planes,
     "op4_mixing": op4_mixing,
     "op5_topk": op5_topk,
+    "op6_lm": op6_lm,
     "op7_substrings": op7_substrings,
     "op8_decontam": op8_decontam,
     "op9_neardup": op9_neardup,
