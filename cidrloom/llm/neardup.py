@@ -14,8 +14,8 @@ smallest one only; what these links join need not be compared further, and
 pairs of different components that still share a key are confirmed one by one,
 so no link between components is lost and dense groups cost one link a member.
 
-Scale: three shuffles of signatures or keys and two of the texts that have a
-partner; stars are salted in blocks of ``STAR_BLOCK`` members with the centre
+Scale: one shuffle of the keys, combined by batch, and two of the texts that
+have a candidate; stars are salted in blocks of ``STAR_BLOCK`` members with the centre
 repeated, so a group of any size is spread over tasks.
 """
 
@@ -37,6 +37,8 @@ CHUNKS, WIDTH, ERRORS = 12, 5, 1
 SIZE = CHUNKS * WIDTH
 MAX_DISTANCE = CHUNKS * (ERRORS + 1) - 1
 STAR_BLOCK = 2048
+#: Ids that may be broadcast to pick the texts to compare (8 bytes each); beyond it they are joined.
+MAX_BROADCAST_NODES = 1_000_000
 
 _rng = np.random.default_rng(9)
 _MULT = _rng.integers(1, 1 << 63, SIZE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -104,25 +106,48 @@ def _sketch(k: int):
     return run
 
 
+_ROW = pa.schema([("key", pa.int64()), ("hub", pa.int64()), ("node", pa.int64())])
+
+
 def _index_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keys of every chunk with every choice of places left out."""
+    """(key, hub, node) for every chunk and choice of places left out.
+
+    Combined by batch: the batch's smallest node under a key has no hub, the
+    others have that node as theirs and need not be sent to the key's group.
+    """
     for b in batches:
         if not b.num_rows:
             continue
         sig = np.frombuffer(b"".join(b.column("sig").to_pylist()), np.uint16).reshape(-1, CHUNKS, WIDTH).astype(np.uint64)
-        keys = []
+        node = b.column("node").to_numpy()
+        order = np.argsort(node, kind="stable")
+        node, sig = node[order], sig[order]
         for c in range(CHUNKS):
             for v, gone in enumerate(itertools.combinations(range(WIDTH), ERRORS)):
                 key = np.full(len(sig), c * 64 + v + 1, np.uint64)
                 for p in range(WIDTH):
                     if p not in gone:
                         key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + sig[:, c, p])
-                keys.append(key)
-        node = b.column("node").to_numpy()
-        flat = np.stack(keys, 1).view(np.int64)
-        for lo in range(0, len(node), 2048):
-            part = flat[lo : lo + 2048]
-            yield pa.RecordBatch.from_arrays([pa.array(part.ravel()), pa.array(np.repeat(node[lo : lo + 2048], part.shape[1]))], ["key", "node"])
+                u, first, inverse = np.unique(key, return_index=True, return_inverse=True)
+                hub = node[first][inverse]
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(hub, mask=hub == node), pa.array(node)], schema=_ROW)
+
+
+def _group_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows in order of (key, node): each but the first of a key, with that one as its hub."""
+    at_key, at_node = None, 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        key, node = b.column("key").to_numpy(), b.column("node").to_numpy()
+        new = np.ones(len(key), bool)
+        new[1:] = key[1:] != key[:-1]
+        new[0] = key[0] != at_key
+        start = np.flatnonzero(new)
+        which = np.cumsum(new) - 1
+        hub = np.where(which < 0, at_node, node[start[np.maximum(which, 0)]] if len(start) else at_node)
+        at_key, at_node = key[-1], hub[-1]
+        yield pa.RecordBatch.from_arrays([pa.array(key[~new]), pa.array(hub[~new]), pa.array(node[~new])], schema=_ROW)
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,6 +199,9 @@ def confirm_links(docs: DataFrame, pairs: DataFrame, k: int, percent: int, label
     )
     centres = salts.select(F.col("a").alias("node"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("role"))
     n = partitions(docs.sparkSession)
+    wanted = stash(spokes.select("node").unionByName(salts.select(F.col("a").alias("node"))).distinct(), "wanted")
+    if wanted.limit(MAX_BROADCAST_NODES + 1).count() <= MAX_BROADCAST_NODES:
+        docs = docs.join(F.broadcast(wanted), docs["doc_id"] == wanted["node"], "left_semi")
     placed = (
         spokes.unionByName(centres)
         .join(docs.select(F.col("doc_id").alias("node"), "text"), "node")
@@ -200,19 +228,21 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     nodes = stash(sets.select("h1", "h2", "n", F.col("x.doc_id").alias("node"), F.col("x.sig").alias("sig")), "nodes")
     signed = nodes.select("node", "sig")
 
-    keys = signed.mapInArrow(_index_keys, "key long, node long")
-    shared = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last")
-    stars = keys.join(shared.select("key", "hub"), "key").filter("node > hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
-    stars = stash(stars, "stars")
+    keys = signed.mapInArrow(_index_keys, "key long, hub long, node long")
+    firsts = keys.filter("hub is null").select("key", "node").repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "node")
+    grouped = firsts.mapInArrow(_group_keys, "key long, hub long, node long")
+    members = stash(grouped.unionByName(keys.filter("hub is not null")), "members")
+    stars = stash(members.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     links = confirm_links(docs, stars, k, percent, "star-links")
     comps = stash(connected_components(links), "components")
 
     # Keys whose members are not yet joined: pairs across components.
-    labelled = signed.join(comps.withColumnRenamed("component", "comp"), "node", "left").select("node", "sig", F.coalesce("comp", "node").alias("comp"))
-    placed = keys.join(shared.select("key"), "key", "left_semi").join(labelled.select("node", "comp"), "node")
+    joined = comps.withColumnRenamed("component", "comp")
+    placed = members.select("key", "node").unionByName(members.select("key", F.col("hub").alias("node"))).distinct()
+    placed = stash(placed.join(joined, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp")), "placed")
     open_keys = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("key")
-    members = stash(placed.join(open_keys, "key", "left_semi"), "open")
-    left, right = (members.select("key", F.col("node").alias(s), F.col("comp").alias(f"c{s}")) for s in ("a", "b"))
+    open_rows = stash(placed.join(open_keys, "key", "left_semi"), "open")
+    left, right = (open_rows.select("key", F.col("node").alias(s), F.col("comp").alias(f"c{s}")) for s in ("a", "b"))
     across = left.join(right, "key").filter("a < b and ca <> cb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
     sa, sb = (signed.select(F.col("node").alias(s), F.col("sig").alias(f"s{s}")) for s in ("a", "b"))
     close = stash(across.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(_near, "a long, b long"), "across")
