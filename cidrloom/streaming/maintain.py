@@ -29,9 +29,16 @@ def rebuild(spark: SparkSession, log_path: str, layer_path: str, values: Sequenc
     out = overlay(cut, values, how)
     parts = out.withColumn("shard", F.explode(F.sequence(F.floor(F.col("lo") / SHARD), F.floor((F.col("hi") - 1) / SHARD))))
     parts = parts.withColumns({"lo": F.greatest("lo", F.col("shard") * SHARD), "hi": F.least("hi", (F.col("shard") + 1) * SHARD)})
+    mark = spark.createDataFrame([(s, s * SHARD) for s in shards], "shard long, lo long").withColumn("hi", F.col("lo"))
+    parts = parts.unionByName(mark, allowMissingColumns=True)  # so that a shard left without data is replaced too
     parts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(layer_path)
 
 
+def read_layer(spark: SparkSession, layer_path: str) -> DataFrame:
+    """Ranges (lo, hi, values) of a maintained layer, cut at the shards' edges."""
+    return spark.read.parquet(layer_path).filter("hi > lo").drop("shard")
+
+
 def maintain(inserts: DataFrame, log_path: str, layer_path: str, values: Sequence[str], checkpoint: str, how: str = "replace") -> StreamingQuery:
     """Append a stream (seq, lo, plen, values) to the log and rebuild the shards it touches.
 
