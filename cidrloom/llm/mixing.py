@@ -88,7 +88,7 @@ def mix_sources(
         joined = docs.join(F.broadcast(rates), same)
     else:
         salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
-        spread = rates.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).cast("long"))
+        spread = rates.withColumn("mix_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
         joined = docs.withColumn("mix_salt_of", salt).join(spread, same & (F.col("mix_salt_of") == F.col("mix_salt")))
     doc = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), doc)), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(2.0**52)
