@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .workspace import filesystem, new_folder, partitions, stash
+from .workspace import bounded_batches, filesystem, new_folder, partitions, stash
 
 BLOCK_BYTES = 1 << 20
 _SHIFT = 24
@@ -39,6 +39,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def make_blocks(docs: DataFrame) -> DataFrame:
     """(block, ids, texts) of all documents, in a table of the shared folder; null texts are empty."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return stash(docs.mapInArrow(_pack, "block long, ids array<long>, texts array<string>"), "blocks")
 

@@ -27,6 +27,7 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from .neardup import doc_shingles, shingle_set
 from .textwords import mix64, shingle_hashes, split_words, text_column
+from .workspace import bounded_batches
 
 BLOCK_ITEMS = 20_000
 BLOCK_CHARS = 16_000_000
@@ -149,6 +150,7 @@ def mark_contaminated(docs: DataFrame, items: DataFrame, k: int = 5, percent: in
     name ``column`` is replaced, all others are carried unread.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n, chars, longest = items.agg(F.count(F.lit(1)), F.sum(F.length("text")), F.max(F.length("text"))).first()
     blocks = max(1, -(-n // BLOCK_ITEMS), -(-(chars or 0) // BLOCK_CHARS))

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .textwords import mix64, split_words, text_column
-from .workspace import partitions, stash
+from .workspace import bounded_batches, partitions, stash
 
 TAU = 2
 MIN_BYTES = 24
@@ -238,6 +238,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def line_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(lines, links): distinct lines (line, h1, h2, first, n) and pairs (a, b) of line ids within TAU edits."""
+    bounded_batches(docs.sparkSession)
     n = partitions(docs.sparkSession)
     occurrences = _lines_of(docs).select("doc_id", "line_no", "h1", "h2")
     lines = occurrences.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"))

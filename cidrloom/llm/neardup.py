@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .textwords import mix64, shingle_hashes, split_words, text_column
-from .workspace import partitions, stash
+from .workspace import bounded_batches, partitions, stash
 
 CHUNKS, WIDTH, ERRORS = 12, 5, 1
 SIZE = CHUNKS * WIDTH
@@ -222,6 +222,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     all link it; a null doc_id is judged alone and kept; an empty table gives
     no rows; other columns are not looked at.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches = stash(docs.mapInArrow(_sketch(k), "doc_id long, n long, h1 long, h2 long, sig binary"), "sketches")
     sets = sketches.filter("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min(F.struct("doc_id", "sig")).alias("x"))

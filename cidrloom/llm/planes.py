@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .textwords import split_words, text_column
-from .workspace import filesystem, new_folder, partitions
+from .workspace import bounded_batches, filesystem, new_folder, partitions
 
 MAGIC = b"CLP1"
 CHUNK = 1 << 16
@@ -226,11 +226,21 @@ class Encoder:
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, h: np.ndarray, start: np.ndarray, end: np.ndarray, spaced: np.ndarray, raw: bytes) -> None:
-        if self.table.n + len(h) > 1 << (self.table.bits - 1):
+    def _learn(self, h: np.ndarray, start: np.ndarray, end: np.ndarray, spaced: np.ndarray, raw: bytes) -> np.ndarray:
+        """Entries of all pieces, after the library has encoded those that are new."""
+        found = self.table.find(h)
+        new = np.flatnonzero(found < 0)
+        if not len(new):
+            return found
+        new = new[np.unique(h[new], return_index=True)[1]]
+        if self.table.n + len(new) > 1 << (self.table.bits - 1):
+            new = np.unique(h, return_index=True)[1]
+            while len(new) > 1 << (self.table.bits - 1):  # one text of very many pieces
+                self.table.bits += 1
             self.table.clear()
-        pieces = [(" " if sp else "") + raw[a:b].decode() for a, b, sp in zip(start.tolist(), end.tolist(), spaced.tolist())]
-        self.table.add(h, self._library(pieces))
+        pieces = [(" " if sp else "") + raw[a:b].decode() for a, b, sp in zip(start[new].tolist(), end[new].tolist(), spaced[new].tolist())]
+        self.table.add(h[new], self._library(pieces))
+        return self.table.find(h)
 
     def encode_column(self, col: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each text of a column of large strings, and the end id."""
@@ -257,22 +267,8 @@ class Encoder:
             ht = words.hashes(stop, end) ^ _BARE
             hn = words.hashes(np.maximum(start - 1, 0), start) ^ _BARE
             every = np.concatenate([h, ht[tail], hn[newline]])
-            found = self.table.find(every)
-            if (found < 0).any():
-                spans = [np.concatenate(x) for x in ((start, stop[tail], start[newline] - 1), (stop, end[tail], start[newline]), (spaced, np.zeros(int(tail.sum() + newline.sum()), bool)))]
-                lost = np.flatnonzero(found < 0)
-                _, one = np.unique(every[lost], return_index=True)
-                n = self.table.n
-                new = lost[one]
-                self._learn(every[new], *(x[new] for x in spans), data.tobytes())
-                if self.table.n < n + len(new):  # it started anew
-                    found = self.table.find(every)
-                    lost = np.flatnonzero(found < 0)
-                    if len(lost):
-                        _, one = np.unique(every[lost], return_index=True)
-                        new = lost[one]
-                        self._learn(every[new], *(x[new] for x in spans), data.tobytes())
-                found = self.table.find(every)
+            spans = [np.concatenate(x) for x in ((start, stop[tail], start[newline] - 1), (stop, end[tail], start[newline]), (spaced, np.zeros(int(tail.sum() + newline.sum()), bool)))]
+            found = self._learn(every, *spans, data.tobytes())
             entry = np.full((len(start), 3), -1, np.int32)
             entry[:, 1] = found[: len(h)]
             entry[tail, 2] = found[len(h) : len(h) + int(tail.sum())]
@@ -328,11 +324,12 @@ def write_ids(docs: DataFrame, uri: str, tokenizer: str, mode: str = "byte", chu
     columns are not looked at. The manifest (shard, name, n_docs, n_ids, start)
     is also written to ``manifest.json``.
     """
+    bounded_batches(docs.sparkSession)
     fs, folder = filesystem(uri)
     fs.create_dir(folder, recursive=True)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if ordered:
-        rows = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id", "text").sortWithinPartitions("doc_id", "text")
+        rows = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
     rows = (
         rows.mapInArrow(_write_shards(uri, tokenizer, mode, chunk), "shard int, name string, n_docs long, n_ids long")
         .collect()  # one row a shard

@@ -1,7 +1,7 @@
 """Operator 1: toxicity by a factorization machine over hashed terms.
 
 Terms are a text's words (letters and digits, ASCII case folded) and the first
-five bytes of longer words, hashed to ``2**BITS`` buckets. Of these, the
+four, five and six bytes of longer words, hashed to ``2**BITS`` buckets. Of these, the
 buckets whose presence goes with the label (chi-square over the fitting sample)
 carry a weight and a vector of ``RANK`` factors; a text's score is the logistic
 of bias, weights and all pairwise products of factors over the distinct chosen
@@ -25,10 +25,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .textwords import PUNCT, Words, split_words, text_column
+from .workspace import bounded_batches, stash
 
 BITS = 26
 RANK = 8
-PREFIX = 5
+STEMS = (4, 5, 6)
 MAX_PER_CLASS = 6000
 MAX_TERMS = 20_000
 MIN_CHI2 = 8.0
@@ -39,10 +40,13 @@ def _buckets(words: Words) -> tuple[np.ndarray, np.ndarray]:
     row = np.repeat(np.arange(words.hi - words.lo), np.diff(words.bounds))
     shift = np.uint64(64 - BITS)
     whole = words.hashes() >> shift
-    long = np.flatnonzero(words.end - words.start > PREFIX)
-    start = words.start[long]
-    stem = (words.hashes(start, start + PREFIX) * np.uint64(0x9E3779B97F4A7C15)) >> shift
-    return np.concatenate([row, row[long]]), np.concatenate([whole, stem]).astype(np.int64)
+    rows, terms = [row], [whole]
+    for n in STEMS:
+        long = np.flatnonzero(words.end - words.start > n)
+        start = words.start[long]
+        rows.append(row[long])
+        terms.append((words.hashes(start, start + n) * np.uint64(0x9E3779B97F4A7C15)) >> shift)
+    return np.concatenate(rows), np.concatenate(terms).astype(np.int64)
 
 
 @dataclass
@@ -93,7 +97,9 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 1, steps: int =
     keep = index[inverse] >= 0
     row, term, m = row[keep], index[inverse][keep], len(best)
     rng = np.random.default_rng(seed)
-    theta = {"b": np.array([np.log(pos / (n - pos))]), "w": np.zeros(m), "v": rng.normal(0, 0.02, (m, RANK))}
+    # Weights start at half the smoothed log-odds, so that a clear term counts even where it is rare.
+    odds = np.log((seen_pos[best] + 0.5) / (pos + 1)) - np.log((seen[best] - seen_pos[best] + 0.5) / (n - pos + 1))
+    theta = {"b": np.array([np.log(pos / (n - pos))]), "w": 0.5 * odds, "v": rng.normal(0, 0.02, (m, RANK))}
     first = {k: np.zeros_like(x) for k, x in theta.items()}
     second = {k: np.zeros_like(x) for k, x in theta.items()}
     weight = np.where(labels == 1, 0.5 / pos, 0.5 / (n - pos))
@@ -116,20 +122,49 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 1, steps: int =
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct buckets of each text."""
     for b in batches:
-        packed: list[bytes] = []
+        size, flat = [np.zeros(1, np.int64)], [np.zeros(0, np.int32)]
         for words in split_words(text_column(b), True, PUNCT):
             row, bucket = _buckets(words)
             pair = np.unique((row.astype(np.int64) << BITS) | bucket)
-            cut = np.searchsorted(pair >> BITS, np.arange(words.hi - words.lo + 1))
-            low = (pair & ((1 << BITS) - 1)).astype("<i4")
-            packed += [low[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:])]
-        yield pa.RecordBatch.from_arrays([b.column("toxic").cast(pa.int32()), pa.array(packed, pa.binary())], ["toxic", "terms"])
+            size.append(np.bincount(pair >> BITS, minlength=words.hi - words.lo))
+            flat.append((pair & ((1 << BITS) - 1)).astype(np.int32))
+        terms = pa.ListArray.from_arrays(pa.array(np.cumsum(np.concatenate(size)), pa.int32()), pa.array(np.concatenate(flat)))
+        yield pa.RecordBatch.from_arrays([b.column("toxic").cast(pa.int32()), terms], ["toxic", "terms"])
+
+
+def _only(terms: np.ndarray):
+    """Rows cut to the given sorted buckets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            col = b.column("terms").combine_chunks() if isinstance(b.column("terms"), pa.ChunkedArray) else b.column("terms")
+            packed = []
+            for x in col:
+                v = x.values.to_numpy()
+                packed.append(v[np.isin(v, terms)].astype("<i4").tobytes())
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(packed, pa.binary())], ["toxic", "terms"])
+
+    return run
+
+
+def select_terms(rows: DataFrame) -> np.ndarray:
+    """Sorted buckets, at most MAX_TERMS, whose presence goes with the label of rows (toxic, terms)."""
+    n, pos = rows.agg(F.count(F.lit(1)), F.sum("toxic")).first()
+    pos = pos or 0
+    each = rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("seen"), F.sum("toxic").alias("hit"))
+    seen, hit = F.col("seen").cast("double"), F.col("hit").cast("double")
+    gap = hit * n - seen * pos
+    chi2 = F.try_divide(gap * gap * n, seen * (n - seen) * F.lit(float(pos)) * F.lit(float(n - pos)))
+    best = each.withColumn("chi2", chi2).filter((F.col("chi2") >= MIN_CHI2) & (F.col("seen") >= 2)).orderBy(F.desc("chi2"), "term").limit(MAX_TERMS)
+    return np.array(sorted(r.term for r in best.select("term").collect()), np.int64)
 
 
 def train(docs: DataFrame, labels: DataFrame, fold: int = 5) -> Model:
     """Fit on labelled documents whose crc32(doc_id) mod ``fold`` is not 0."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     named = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
         .filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1))
@@ -146,9 +181,10 @@ def train(docs: DataFrame, labels: DataFrame, fold: int = 5) -> Model:
     rows = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         .join(F.broadcast(chosen), "doc_id")  # at most two times MAX_PER_CLASS rows
-        .mapInArrow(_features, "toxic int, terms binary")
-        .collect()
+        .mapInArrow(_features, "toxic int, terms array<int>")
     )
+    rows = stash(rows, "tox-sample")
+    rows = rows.mapInArrow(_only(select_terms(rows)), "toxic int, terms binary").collect()
     rows.sort(key=lambda r: (r.toxic, bytes(r.terms)))  # the order of arrival must not matter
     return fit([np.frombuffer(r.terms, "<i4").astype(np.int64) for r in rows], np.array([r.toxic for r in rows], np.int64))
 
@@ -174,6 +210,7 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
     logistic of the bias. Equal texts get equal scores, an empty table gives an
     empty one, and columns other than ``text`` are carried unread.
     """
+    bounded_batches(docs.sparkSession)
     kept = [c for c in docs.columns if c != "tox_score"]
     docs = docs.select(*[F.col(f"`{c}`") for c in kept])
     schema = StructType([*docs.schema.fields, StructField("tox_score", DoubleType())])

@@ -30,6 +30,20 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's Arrow batches to ``BATCH_BYTES``, so that long texts can't fill a worker.
+
+    Spark bounds batches by rows (10,000), which long texts turn into gigabytes.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = spark.conf.get(key)
+    if not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
     """URI of a folder of its own below the shared folder."""
     return f"{shared_dir(spark)}/cidrloom-{label}-{uuid.uuid4().hex}"
