@@ -1,26 +1,40 @@
-"""Point lookups: containment as an equi-join."""
+"""Point lookups: which record holds an address."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.addr import block_size
+from .overlay import SHARD_BITS
 
+_SHARD = 1 << (32 - SHARD_BITS)
 
-def lookup(probes: DataFrame, records: DataFrame, ip: str = "ip", how: str = "inner") -> DataFrame:
+
+def lookup(probes: DataFrame, records: DataFrame, ip: str = "ip", how: str = "inner", splits: int = 1) -> DataFrame:
     """Probes with the record (lo, plen, values) that holds their address.
 
-    Records are disjoint, so at most one matches. Each probe is masked to each
-    length that records have (at most 33) and joined on (length, address); the
-    planner broadcasts small layers, and large ones are shuffled on a key that
-    spreads evenly. With ``how`` left, probes without a record keep nulls.
+    Records are disjoint, so the one that starts last at or before an address is
+    the only candidate: a merge of both tables in address order within shards
+    of the leading address bits, and no row is repeated but records wider than
+    a shard. With ``how`` left, probes without a record keep nulls. ``splits``
+    spreads each shard's probes over so many tasks, with its records in each,
+    for probes that crowd into few shards.
     """
-    lens = records.select("plen").distinct()
-    masked = probes.join(F.broadcast(lens)).withColumn("_base", F.col(ip) - F.col(ip) % block_size(F.col("plen")))
-    found = masked.join(records.withColumnRenamed("lo", "_base"), ["plen", "_base"]).withColumnRenamed("_base", "lo")
+    values = [c for c in records.columns if c not in ("lo", "plen")]
+    r = records.select("lo", "plen", F.struct("lo", "plen", *values).alias("_rec"), F.lit(0).alias("_kind"))
+    last = F.col("lo") + block_size(F.col("plen")) - 1
+    r = r.withColumn("_shard", F.explode(F.sequence(F.floor(F.col("lo") / _SHARD), F.floor(last / _SHARD))))
+    r = r.withColumn("_at", F.greatest("lo", F.col("_shard") * _SHARD)).withColumn("_split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
+    row = F.struct(*[F.col(f"`{c}`") for c in probes.columns])
+    p = probes.select(row.alias("_row"), F.col(ip).cast("long").alias("_at"), F.lit(1).alias("_kind"))
+    p = p.withColumns({"_shard": F.floor(F.col("_at") / _SHARD), "_split": F.pmod(F.xxhash64("_row"), F.lit(splits)).cast("int")})
+    both = r.select("_shard", "_split", "_at", "_kind", "_rec").unionByName(p, allowMissingColumns=True)
+    w = Window.partitionBy("_shard", "_split").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = both.withColumn("_rec", F.last("_rec", ignorenulls=True).over(w)).filter("_kind = 1")
+    holds = F.col("_rec.lo") + block_size(F.col("_rec.plen")) > F.col("_at")
     if how == "inner":
-        return found
-    keys = probes.columns
-    missing = probes.join(found.select(*keys), keys, "left_anti")
-    return found.unionByName(missing, allowMissingColumns=True)
+        found = found.filter(holds)
+    else:
+        found = found.withColumn("_rec", F.when(holds, F.col("_rec")))
+    return found.select("_row.*", "_rec.*")
