@@ -253,12 +253,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     comps = stash(connected_components(links.unionByName(more).unionByName(twice)), "components")
 
     by_set = nodes.join(comps, "node", "left").select("h1", "h2", "n", F.coalesce("component", "node").alias("component"))
-    found = sketches.join(by_set, ["h1", "h2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    found = sketches.join(by_set, ["h1", "h2", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
     return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that ``near_duplicates`` keeps, with all their columns (one row a doc_id)."""
+    """The documents that ``near_duplicates`` keeps, with all their columns.
+
+    All rows of a kept doc_id stay, and so do rows without one.
+    """
     gone = near_duplicates(docs, k, percent).filter("not kept").select(F.col("doc_id").alias("_gone"))
     return docs.join(gone.distinct(), docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
 

@@ -74,6 +74,8 @@ def test_near_duplicates(docs, empty, k, percent):
     got = sorted((tuple(r) for r in neardup.near_duplicates(docs, k, percent).collect()), key=repr)
     assert got == brute_near(ROWS, k, percent)
     assert neardup.near_duplicates(empty, k, percent).count() == 0
+    twin = neardup.near_duplicates(docs.unionByName(docs.filter("doc_id = 10").withColumn("doc_id", F.lit(None).cast("long"))), k, percent)
+    assert [tuple(r)[2:] for r in twin.filter("doc_id is null").collect()] == [(None, True)] * 2
     kept = neardup.drop_near_duplicates(docs, k, percent)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {i for i, _, _, keep in got if keep}
