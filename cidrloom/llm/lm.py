@@ -9,11 +9,15 @@ counts (plus one) of all others, so rare words carry corpus-wide statistics too.
 
 The recurrent part is a gated recurrent unit whose output softmax is factored
 into classes of words of like frequency. It is trained by truncated
-backpropagation in numpy over at most ``SAMPLE_DOCS`` training documents and
-``SAMPLE_TOKENS`` tokens in order of a hash of doc_id; its size does not depend
-on the corpus, and it is broadcast. For scoring, documents fill the lanes of a
-batch one after the other, each from an empty state, and states are carried
-from window to window, so that any document is scored as a whole.
+backpropagation in numpy over every token of every training document: in each
+of ``ROUNDS`` rounds all tasks start from the same parameters and learn from
+their share of the documents, and the results are averaged by tokens, a piece
+of the parameters at a time. A corpus under ``LEAST_TOKENS`` tokens is gone over
+again, up to ``MOST_PASSES`` times. The model's size does not depend on the
+corpus, and it is broadcast; its last digits depend on how rows lie in files.
+For scoring, documents fill the lanes of a batch one after the other, each from
+an empty state, and states are carried from window to window, so that any
+document is scored as a whole.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +40,12 @@ from .workspace import partitions, stash
 VOCABULARY = 4094
 CLASS_WORDS = 64
 HIDDEN = 24
-SAMPLE_DOCS = 800
-SAMPLE_TOKENS = 400_000
+ROUNDS = 4
+LEAST_TOKENS = 1_000_000
+MOST_PASSES = 3
+#: Tokens that a task lays out in lanes at once to learn from, and pieces of the parameters that are averaged apart.
+TRAIN_TOKENS = 1 << 20
+PIECES = 16
 WINDOW = 32
 LANES = 1024
 POOL_TOKENS = 3_000_000
@@ -244,12 +253,16 @@ def _lay_out(ids: np.ndarray, bounds: np.ndarray, most: int, start_id: int) -> t
     return tuple(np.ascontiguousarray(a.T) for a in (y, x, fresh, doc))
 
 
-def train(par: dict, ids: np.ndarray, bounds: np.ndarray, epochs: int = 3, lanes: int = 48, rate: float = 0.01) -> dict:
-    """Truncated backpropagation over windows, with the state carried between them."""
+def train(par: dict, ids: np.ndarray, bounds: np.ndarray, epochs: int = 3, lanes: int = 48, rate: float = 0.01, fall: float = 0.9, moments: dict | None = None) -> dict:
+    """Truncated backpropagation over windows, with the state carried between them.
+
+    The rate falls by ``fall`` of itself; ``moments`` carries the optimizer's state from call to call.
+    """
     hidden, start = len(par["u"]), len(par["x"]) - 1
     y, x, fresh, doc = _lay_out(ids, bounds, lanes, start)
-    first, second = ({k: np.zeros_like(v) for k, v in par.items()} for _ in range(2))
-    t, total = 0, epochs * -(-len(y) // WINDOW)
+    moments = new_moments(par) if moments is None else moments
+    first, second = moments["first"], moments["second"]
+    done, total = 0, epochs * -(-len(y) // WINDOW)
     for _ in range(epochs):
         h = np.zeros((y.shape[1], hidden), np.float32)
         for lo in range(0, len(y), WINDOW):
@@ -258,7 +271,7 @@ def train(par: dict, ids: np.ndarray, bounds: np.ndarray, epochs: int = 3, lanes
                 keep = ~fresh[s][:, None]
                 h = h * keep
                 new, z, r, n, hu = _step(par, h, x[s])
-                tape.append((h, z.copy(), r.copy(), n, hu, keep))
+                tape.append((h, z, r, n, hu, keep))
                 outs.append(new)
                 h = new
             steps = len(tape)
@@ -272,28 +285,128 @@ def train(par: dict, ids: np.ndarray, bounds: np.ndarray, epochs: int = 3, lanes
                 grad[k] /= max(1, mask.sum())
             dout = dout.reshape(steps, -1, hidden)
             dh = np.zeros_like(h)
+            dgs = np.empty((steps, len(h), 3 * hidden), dout.dtype)
             for s in reversed(range(steps)):
                 was, z, r, n, hu, keep = tape[s]
                 d = dh + dout[s]
-                da = d * (1 - z) * (1 - n * n)
-                dg = np.concatenate([d * (was - n) * z * (1 - z), da * hu[:, 2 * hidden :] * r * (1 - r), da], 1)
-                np.add.at(grad["x"], x[lo + s], dg)
+                dz = d * z
+                da = (d - dz) * (1 - n * n)
+                dg = dgs[s]
+                dg[:, :hidden] = dz * (was - n) * (1 - z)
+                dar = da * r
+                dg[:, hidden : 2 * hidden] = dar * hu[:, 2 * hidden :] * (1 - r)
+                dg[:, 2 * hidden :] = da
                 dhu = dg.copy()
-                dhu[:, 2 * hidden :] *= r
+                dhu[:, 2 * hidden :] = dar
                 grad["u"] += was.T @ dhu
-                dh = (d * z + dhu @ par["u"].T) * keep
-            t += 1
+                dh = (dz + dhu @ par["u"].T) * keep
+            words = x[lo : lo + steps].ravel()
+            order = np.argsort(words, kind="stable")
+            words = words[order]
+            cut = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
+            grad["x"][words[cut]] = np.add.reduceat(dgs.reshape(-1, 3 * hidden)[order], cut)
+            done += 1
+            moments["t"] += 1
+            t = moments["t"]
             norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
             scale = min(1.0, 1.0 / (norm + 1e-9))
-            lr = rate * (1 - 0.9 * t / total) * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
+            lr = rate * (1 - fall * done / total) * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
             for k, g in grad.items():
                 g *= scale
-                first[k] = 0.9 * first[k] + 0.1 * g
-                second[k] = 0.999 * second[k] + 0.001 * g * g
-                par[k] -= (lr * first[k] / (np.sqrt(second[k]) + 1e-8)).astype(np.float32)
+                first[k] *= 0.9
+                first[k] += 0.1 * g
+                g *= g
+                g *= 0.001
+                second[k] *= 0.999
+                second[k] += g
+                np.sqrt(second[k], g)
+                g += 1e-8
+                np.divide(first[k], g, g)
+                g *= lr
+                par[k] -= g
     return par
 
 
+def new_moments(par: dict) -> dict:
+    return {"t": 0, **{m: {k: np.zeros_like(v) for k, v in par.items()} for m in ("first", "second")}}
+
+
+def _learn(shared, turn: int, rounds: int):
+    """One round: each task's parameters and moments, in pieces, after its documents of this turn."""
+    schema = pa.schema([("bucket", pa.int32()), ("part", pa.int32()), ("n", pa.int64()), ("steps", pa.int64()), ("values", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, moments = shared.value
+        par = {k: v.copy() for k, v in model.par.items()}
+        moments = {"t": moments["t"], **{m: {k: v.copy() for k, v in moments[m].items()} for m in ("first", "second")}}
+        pool, held, seen = [], 0, 0
+
+        def fit() -> None:
+            bounds = np.concatenate([[0], np.cumsum(np.concatenate([n for _, n in pool]))])
+            # about as many windows a round in small corpora as in large ones
+            lanes = min(192, max(48, held // 4096))
+            train(par, np.concatenate([x for x, _ in pool]), bounds, 1, lanes, 0.01 * (1 - 0.9 * (turn + 0.5) / rounds), 0.0, moments)
+
+        for block, docs, texts in each_block(batches):
+            mine = [j for j, i in enumerate(docs) if (block + j) % ROUNDS == turn % ROUNDS and not is_held_out(i)]
+            if not mine:
+                continue
+            h, bounds = _tokens(texts.take(pa.array(mine)))
+            pool.append((model.encode(h), np.diff(bounds)))
+            held, seen = held + len(h), seen + len(h)
+            if held >= TRAIN_TOKENS:
+                fit()
+                pool, held = [], 0
+        if pool:
+            fit()
+        if seen:
+            pieces = [x.tobytes() for x in np.array_split(_flat(par, moments), PIECES)]
+            same = [np.full(PIECES, v) for v in (TaskContext.get().partitionId(), seen, moments["t"])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip([np.arange(PIECES), *same, pieces], schema.types)], schema=schema)
+
+    return run
+
+
+def _flat(par: dict, moments: dict) -> np.ndarray:
+    return np.concatenate([v.ravel() for d in (par, moments["first"], moments["second"]) for v in d.values()])
+
+
+def _average(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    """A piece's mean over the tasks, weighted by their tokens."""
+    table = table.sort_by("part")
+    n = table.column("n").to_numpy()
+    total = 0.0
+    for w, raw in zip(n / n.sum(), table.column("values")):
+        total = total + w * np.frombuffer(raw.as_py(), np.float32)
+    row = [table.column("bucket")[:1].to_pylist(), [int(n.sum())], [int(table.column("steps").to_numpy().max())], [total.astype(np.float32).tobytes()]]
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int32(), pa.int64(), pa.int64(), pa.binary()))], ["bucket", "n", "steps", "values"])
+
+
+def fit_rounds(blocks: DataFrame, model: Model, n_all: int) -> int:
+    """Train ``model`` on all tokens of the training documents; how many it learned from, each pass counted."""
+    spark = blocks.sparkSession
+    passes = min(MOST_PASSES, max(1, -(-LEAST_TOKENS // max(1, n_all))))
+    # a task learns from many blocks in a row, and what is averaged doesn't grow with the corpus
+    tasks = blocks.coalesce(2 * spark.sparkContext.defaultParallelism)
+    moments, learned = new_moments(model.par), 0
+    for turn in range(ROUNDS * passes if n_all else 0):
+        shared = spark.sparkContext.broadcast((model, moments))
+        rows = tasks.mapInArrow(_learn(shared, turn, ROUNDS * passes), "bucket int, part int, n long, steps long, values binary")
+        got = by_bucket(rows, _average, "bucket int, n long, steps long, values binary").collect()
+        shared.unpersist()
+        if not got:
+            continue
+        got.sort(key=lambda r: r.bucket)
+        learned += got[0].n
+        flat, at = np.frombuffer(b"".join(bytes(r["values"]) for r in got), np.float32), 0
+        for d in (model.par, moments["first"], moments["second"]):
+            for k, v in d.items():
+                d[k] = flat[at : at + v.size].reshape(v.shape).copy()
+                at += v.size
+        moments["t"] = got[0].steps
+    return learned
+
+
 def log_likelihood(par: dict, ids: np.ndarray, bounds: np.ndarray, lanes: int = LANES) -> np.ndarray:
     """Natural log-probability of each document."""
     docs, hidden = len(bounds) - 1, len(par["u"])
@@ -355,12 +468,6 @@ def _score(side: str, shared, buckets: int, n_all: int, v_all: int):
     return run
 
 
-def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        h, bounds = _tokens(text_column(b))
-        yield pa.RecordBatch.from_arrays([b.column("place"), pa.array([h[x:y].tobytes() for x, y in zip(bounds[:-1], bounds[1:])], pa.binary())], ["place", "h"])
-
-
 def score_documents(docs: DataFrame, hidden: int = HIDDEN) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document.
 
@@ -382,32 +489,18 @@ def score_documents(docs: DataFrame, hidden: int = HIDDEN) -> DataFrame:
     top = top.orderBy(F.desc("c"), "hash").limit(VOCABULARY).collect()
     hashes = np.array([r.hash for r in top], np.int64).view(np.uint64)
     order = np.argsort(hashes)
-    ends = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 != 2
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter(F.coalesce(ends, F.lit(True)))
-    sample = sample.select("text", F.struct(F.xxhash64("doc_id"), F.xxhash64("text")).alias("place"))
-    places = sample.select("place").orderBy("place").limit(SAMPLE_DOCS).distinct()
-    rows = sample.join(F.broadcast(places), "place").mapInArrow(_hashes, "place struct<a:long,b:long>, h binary")
-    got = sorted((tuple(r.place), bytes(r.h)) for r in rows.toLocalIterator())
     model = Model(hashes[order], order.astype(np.int32), new_parameters(len(hashes) + 2, hidden), 0, 0)
     known = sum(r.c for r in top)
     end_count = _end_count(totals)
     model.rest_n, model.rest_v = int(n_all - known - end_count), max(0, int(v_all - len(top) - (end_count > 0)))
-    ids, bounds = [], [0]
-    for _, raw in got:
-        if bounds[-1] >= SAMPLE_TOKENS:
-            break
-        ids.append(model.encode(np.frombuffer(raw, np.uint64)[:SAMPLE_TOKENS]))
-        bounds.append(bounds[-1] + len(ids[-1]))
-    if ids:
-        ids = np.concatenate(ids)
-        c = np.ones(len(model.par["bc"]) * CLASS_WORDS)
-        c[: len(hashes)] += [r.c for r in top]
-        c[model.other] += model.rest_n
-        c[model.other + 1] += end_count
-        c = c.reshape(-1, CLASS_WORDS)
-        model.par["bc"][:] = np.log(c.sum(1) / c.sum())  # start from the corpus counts
-        model.par["bw"][:] = np.log(c / c.sum(1, keepdims=True))
-        train(model.par, ids, np.array(bounds))
+    c = np.ones(len(model.par["bc"]) * CLASS_WORDS)
+    c[: len(hashes)] += [r.c for r in top]
+    c[model.other] += model.rest_n
+    c[model.other + 1] += end_count
+    c = c.reshape(-1, CLASS_WORDS)
+    model.par["bc"][:] = np.log(c.sum(1) / c.sum())  # start from the corpus counts
+    model.par["bw"][:] = np.log(c / c.sum(1, keepdims=True))
+    fit_rounds(blocks, model, int(n_all))
     side = write_side(counted.filter("block >= 0").select("block", "bucket", "counts"), "counts")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return blocks.mapInArrow(_score(side, spark.sparkContext.broadcast(model), buckets, n_all, v_all), schema)

@@ -475,6 +475,18 @@ def test_recurrent_model_learns_order():
     assert lm.log_likelihood(par, ids, bounds).sum() / len(ids) > -0.2
 
 
+def test_language_model_learns_from_every_document(spark):
+    """Only documents beyond the first 800 in order of their hash show the order of the words."""
+    ids = [r.id for r in spark.range(2600).orderBy(F.xxhash64("id"), "id").collect()]
+    first = set([i for i in ids if not lm.is_held_out(i)][:800])
+    rng = np.random.default_rng(4)
+    cycle = [f"w{j % 8}" for j in range(40)]
+    rows = [(i, " ".join(rng.permutation(cycle) if i in first else cycle)) for i in ids]
+    got = lm.score_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).filter("held_out")
+    r = got.agg(F.sum("score").alias("score"), F.sum("base_score").alias("base")).first()
+    assert r.score > 0.5 * r.base
+
+
 def test_pipeline(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")
