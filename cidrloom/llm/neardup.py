@@ -5,8 +5,10 @@ cut to 16 bits each. Two signatures that differ in at most ``MAX_DISTANCE``
 places differ, by the pigeonhole principle, in at most ``ERRORS`` places of
 some chunk. So each chunk is stored once for every choice of ``ERRORS`` places
 left out, and any such pair meets under one of these keys: none under the
-distance is missed. At a similarity of 0.85 (0.8) a pair lies beyond the
-distance with probability 4e-10 (1e-7).
+distance is missed. Beyond it (at a similarity of 0.85 (0.8) with probability
+2.3e-6 (3.0e-4)) most pairs share a key too: at 0.85 (0.8) none is shared with
+probability 4e-10 (1e-7). Every pair that shares a key and is not yet joined is
+confirmed, whatever its distance.
 
 Links are confirmed on the full sets of shingles, as words. Documents of equal
 sets are one node from the start. Each key first links its members to its
@@ -150,14 +152,6 @@ def _group_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key[~new]), pa.array(hub[~new]), pa.array(node[~new])], schema=_ROW)
 
 
-def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        if b.num_rows:
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint16).reshape(-1, SIZE) for c in ("sa", "sb"))
-            close = pa.array((x != y).sum(1) <= MAX_DISTANCE)
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(close), b.column("b").filter(close)], ["a", "b"])
-
-
 def shingle_set(text: str | None, k: int) -> set:
     """Distinct shingles as tuples of words."""
     raw = (text or "").encode().translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
@@ -245,9 +239,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     open_rows = stash(placed.join(open_keys, "key", "left_semi"), "open")
     left, right = (open_rows.select("key", F.col("node").alias(s), F.col("comp").alias(f"c{s}")) for s in ("a", "b"))
     across = left.join(right, "key").filter("a < b and ca <> cb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    sa, sb = (signed.select(F.col("node").alias(s), F.col("sig").alias(f"s{s}")) for s in ("a", "b"))
-    close = stash(across.join(sa, "a").join(sb, "b").select("a", "b", "sa", "sb").mapInArrow(_near, "a long, b long"), "across")
-    more = confirm_links(docs, close, k, percent, "more-links")
+    across = stash(across, "across")
+    more = confirm_links(docs, across, k, percent, "more-links")
     many = sketches.filter("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.count_distinct("h1", "h2", "n").alias("c")).filter("c > 1")
     twice = sketches.filter("n > 0").join(many, "doc_id").join(nodes, ["h1", "h2", "n"]).select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
     comps = stash(connected_components(links.unionByName(more).unionByName(twice)), "components")

@@ -93,6 +93,30 @@ def test_near_duplicates_of_many_edited_copies(spark):
     assert sorted((tuple(r) for r in neardup.near_duplicates(df, 3, 85).collect()), key=repr) == brute_near(rows, 3, 85)
 
 
+def test_far_signatures_that_share_keys_are_confirmed(spark):
+    """A pair beyond MAX_DISTANCE whose common keys all have another hub is linked all the same."""
+    import pyarrow as pa
+
+    sketch = neardup._sketch(1)
+
+    def signatures(texts):
+        batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": texts})
+        return np.array([np.frombuffer(x, np.uint16) for out in sketch(iter([batch])) for x in out.column("sig").to_pylist()])
+
+    for t in range(1077, 20000):
+        w = [f"t{t}w{i}" for i in range(100)]
+        a, b = w[:90], w[:80] + w[90:]
+        x, y = signatures([" ".join(a), " ".join(b)])
+        if (x != y).sum() > neardup.MAX_DISTANCE:
+            break
+    one = signatures(a)
+    hub = sorted({a[int(np.flatnonzero(one[:, j] == x[j])[0])] for j in np.flatnonzero(x == y)})
+    assert len(hub) < 0.8 * len(a)
+    rows = [(1, " ".join(hub)), (2, " ".join(a)), (3, " ".join(b))]
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 1, 80).collect()}
+    assert got == {1: 1, 2: 2, 3: 2}
+
+
 def test_key_guarantee():
     """Signatures within the distance always share a key."""
     import pyarrow as pa
