@@ -278,6 +278,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     a null doc_id sorts first; an empty table gives no rows; other columns are
     not looked at.
     """
+    return _judged(docs).drop("version")
+
+
+def _judged(docs: DataFrame) -> DataFrame:
+    """The rows of ``dedup_lines`` with the ``version`` (hash of the text) that they belong to."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     lines, links = line_links(docs)
     comps = connected_components(links)
@@ -298,6 +303,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         .agg(each.alias("x"))
         .select(
             "doc_id",
+            "version",
             F.size("x").cast("long").alias("n_lines"),
             F.size(F.filter("x", lambda r: r["gone"])).cast("long").alias("n_removed"),
             F.aggregate("x", F.lit(0).cast("long"), lambda s, r: s + r["links"]).alias("n_links"),
@@ -309,10 +315,11 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 def drop_duplicate_lines(docs: DataFrame) -> DataFrame:
     """``docs`` with the lines that ``dedup_lines`` removes cut out of ``text``."""
-    found = dedup_lines(docs).filter("n_removed > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.first("removed_lines").alias("_gone"))
+    found = _judged(docs).filter("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), F.col("removed_lines").alias("_gone"))
     kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_gone", i))
-    joined = docs.join(found, docs["doc_id"].cast("long").eqNullSafe(F.col("_id")), "left")
-    return joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).drop("_id", "_gone")
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_version"))
+    joined = docs.join(found, same, "left")
+    return joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).drop("_id", "_version", "_gone")
 
 
 ORACLE = r"""

@@ -242,6 +242,14 @@ def test_lines(docs, empty):
     assert cut[12] == "line one of the text is here\nshort" and cut[4] is None
 
 
+def test_lines_of_two_texts_with_one_id(spark):
+    """Each text of a repeated doc_id loses its own duplicate lines only."""
+    rows = [(1, "alpha\nbeta\nalpha"), (2, "gamma\ngamma\ndelta"), (2, "one\ntwo\nthree\nthree"), (2, "gamma\ngamma\ndelta"), (None, "x\nx"), (None, "y\nz\nz")]
+    cut = linededup.drop_duplicate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(1, "alpha\nbeta"), (2, "gamma\ndelta"), (2, "gamma\ndelta"), (2, "one\ntwo\nthree"), (None, "x"), (None, "y\nz")]
+    assert sorted(map(tuple, cut), key=repr) == sorted(want, key=repr)
+
+
 def test_hot_segments(spark, monkeypatch):
     """Many lines that share a segment lose no link when their key is split."""
     rng = np.random.default_rng(2)
