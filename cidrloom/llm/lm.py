@@ -10,8 +10,8 @@ counts (plus one) of all others, so rare words carry corpus-wide statistics too.
 The recurrent part is a gated recurrent unit whose output softmax is factored
 into classes of words of like frequency. It is trained by truncated
 backpropagation in numpy over every token of every training document: in each
-of ``ROUNDS`` rounds all tasks start from the same parameters and learn from
-their share of the documents, and the results are averaged by tokens, a piece
+of ``ROUNDS`` rounds, each over its share of the blocks, all tasks start from
+the same parameters and learn from their part of it, and the results are averaged by tokens, a piece
 of the parameters at a time. A corpus under ``LEAST_TOKENS`` tokens is gone over
 again, up to ``MOST_PASSES`` times. The model's size does not depend on the
 corpus, and it is broadcast; its last digits depend on how rows lie in files.
@@ -22,6 +22,7 @@ document is scored as a whole.
 
 from __future__ import annotations
 
+import functools
 import heapq
 import zlib
 from collections.abc import Iterator
@@ -47,6 +48,7 @@ MOST_PASSES = 3
 TRAIN_TOKENS = 1 << 20
 PIECES = 16
 WINDOW = 32
+RUN = 4096
 LANES = 1024
 POOL_TOKENS = 3_000_000
 END = np.uint64(0xE7037ED1A0B428DB)
@@ -163,59 +165,95 @@ def new_parameters(size: int, hidden: int, seed: int = 6) -> dict[str, np.ndarra
     }
 
 
-def _step(par: dict, h: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, ...]:
-    n = h.shape[1]
-    g, hu = par["x"][x], h @ par["u"]
-    zr = g[:, : 2 * n] + hu[:, : 2 * n]
+#: Rows of logits that are worked on at once, so that they stay in the processor's cache.
+CHUNK = 2048
+#: Logits within this bound can't overflow, so their largest needn't be taken off first.
+_SAFE = 60.0
+
+
+@functools.cache
+def _ones(n: int, kind: np.dtype) -> np.ndarray:
+    return np.ones(n, kind)
+
+
+def _gates(par: dict, x: np.ndarray) -> np.ndarray:
+    """Input of the gates (steps, 3 * hidden, lanes) of previous tokens (steps, lanes)."""
+    return np.ascontiguousarray(par["x"][x].transpose(0, 2, 1))
+
+
+def _step(u: np.ndarray, h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """New state and what the state adds to the gates; ``u`` (3 * hidden, hidden), states (hidden, lanes).
+
+    ``g`` holds the gates' input and becomes their output: keep, reset, new.
+    """
+    n = len(h)
+    hu = u @ h
+    zr, new = g[: 2 * n], g[2 * n :]
+    zr += hu[: 2 * n]
     np.negative(zr, zr)
     np.exp(zr, zr)
     zr += 1
     np.reciprocal(zr, zr)
-    z, r = zr[:, :n], zr[:, n:]
-    new = hu[:, 2 * n :] * r
-    new += g[:, 2 * n :]
+    new += hu[2 * n :] * zr[n:]
     np.tanh(new, new)
     out = h - new
-    out *= z
+    out *= zr[:n]
     out += new
-    return out, z, r, new, hu
+    return out, hu[2 * n :]
 
 
-def _log_softmax_at(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log-probability of column ``at`` of each row; ``logits`` becomes the probabilities."""
-    logits -= logits.max(1, keepdims=True)
+def _log_softmax_at(logits: np.ndarray, at: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(log-probability of column ``at``, sum) of each row; ``logits`` become the exponentials that sum to it."""
+    if not safe:
+        logits -= logits.max(1, keepdims=True)
     mine = logits[np.arange(len(at)), at]
     np.exp(logits, logits)
-    total = logits.sum(1, keepdims=True)
-    logits /= total
-    return mine - np.log(total[:, 0])
+    total = logits @ _ones(logits.shape[1], logits.dtype)
+    return mine - np.log(total), total
 
 
 def _output(par: dict, h: np.ndarray, y: np.ndarray, grad: dict | None = None) -> np.ndarray:
-    """Log-probability of each target; adds to ``grad`` and its ``h`` if given."""
+    """Log-probability of each target after states ``h`` (rows); adds to ``grad`` and sets its ``h`` if given."""
     kind = y // CLASS_WORDS
-    p = h @ par["wc"] + par["bc"]
-    logp = _log_softmax_at(p, kind)
-    if grad is not None:
-        p[np.arange(len(y)), kind] -= 1
-        grad["wc"] += h.T @ p
-        grad["bc"] += p.sum(0)
-        grad["h"] = p @ par["wc"].T
-    order = np.argsort(kind, kind="stable")
-    cut = np.searchsorted(kind[order], np.arange(len(par["bc"]) + 1))
-    for c in range(len(par["bc"])):
-        rows = order[cut[c] : cut[c + 1]]
-        if not len(rows):
-            continue
-        own = y[rows] - c * CLASS_WORDS
-        q = h[rows] @ par["ww"][c] + par["bw"][c]
-        logp[rows] += _log_softmax_at(q, own)
+    order = np.argsort(kind.astype(np.uint16), kind="stable")
+    h, kind, own = h[order], kind[order], (y % CLASS_WORDS)[order]
+    cut = np.searchsorted(kind, np.arange(len(par["bc"]) + 1))
+    # states lie between -1 and 1
+    safe = float(max((np.abs(par["wc"]).sum(0) + np.abs(par["bc"])).max(), (np.abs(par["ww"]).sum(1) + np.abs(par["bw"])).max())) < _SAFE
+    logp, dh = np.empty(len(y), h.dtype), None if grad is None else np.empty_like(h)
+
+    def descend(p: np.ndarray, total: np.ndarray, at: np.ndarray, rows: np.ndarray, weight: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        p[np.arange(len(at)), at] -= total
+        each = 1 / total
+        weight += (rows * each[:, None]).T @ p
+        bias += each @ p
+        return each[:, None]
+
+    for lo in range(0, len(y), CHUNK):
+        rows, at = h[lo : lo + CHUNK], kind[lo : lo + CHUNK]
+        p = rows @ par["wc"]
+        p += par["bc"]
+        logp[lo : lo + CHUNK], total = _log_softmax_at(p, at, safe)
         if grad is not None:
-            q[np.arange(len(rows)), own] -= 1
-            grad["ww"][c] += h[rows].T @ q
-            grad["bw"][c] += q.sum(0)
-            grad["h"][rows] += q @ par["ww"][c].T
-    return logp
+            each = descend(p, total, at, rows, grad["wc"], grad["bc"])
+            np.multiply(p @ par["wc"].T, each, out=dh[lo : lo + CHUNK])
+    for c in np.flatnonzero(np.diff(cut)).tolist():
+        for lo in range(cut[c], cut[c + 1], CHUNK):
+            hi = min(lo + CHUNK, cut[c + 1])
+            rows, at = h[lo:hi], own[lo:hi]
+            q = rows @ par["ww"][c]
+            q += par["bw"][c]
+            more, total = _log_softmax_at(q, at, safe)
+            logp[lo:hi] += more
+            if grad is not None:
+                each = descend(q, total, at, rows, grad["ww"][c], grad["bw"][c])
+                dh[lo:hi] += (q @ par["ww"][c].T) * each
+    out = np.empty_like(logp)
+    out[order] = logp
+    if grad is not None:
+        grad["h"] = np.empty_like(dh)
+        grad["h"][order] = dh
+    return out
 
 
 def fill_lanes(lengths: np.ndarray, most: int) -> list[list[int]]:
@@ -230,94 +268,121 @@ def fill_lanes(lengths: np.ndarray, most: int) -> list[list[int]]:
     return lanes
 
 
-def _lay_out(ids: np.ndarray, bounds: np.ndarray, most: int, start_id: int) -> tuple[np.ndarray, ...]:
-    """(tokens, inputs, first-token marks, document), each steps x lanes; document -1 is padding."""
-    lanes = fill_lanes(np.diff(bounds), most)
+def _lay_out(ids: np.ndarray, bounds: np.ndarray, most: int, start: int | np.ndarray) -> tuple[np.ndarray, ...]:
+    """(tokens, inputs, first-token marks, document), each steps x lanes; document -1 is padding.
+
+    ``start`` is the input before the first token, of all documents or of each.
+    """
+    lengths = np.diff(bounds)
+    lanes = fill_lanes(lengths, most)
     # Lanes in descending order of length: those still running are always the first.
-    lanes.sort(key=lambda l: -sum(int(bounds[d + 1] - bounds[d]) for d in l))
-    longest = max((sum(int(bounds[d + 1] - bounds[d]) for d in l) for l in lanes), default=0)
-    y = np.zeros((len(lanes), longest), np.int32)
-    doc = np.full((len(lanes), longest), -1, np.int32)
-    fresh = np.zeros((len(lanes), longest), bool)
+    lanes.sort(key=lambda l: -int(lengths[l].sum()))
+    longest = max((int(lengths[l].sum()) for l in lanes), default=0)
+    y = np.zeros((longest, len(lanes)), np.int32)
+    doc = np.full((longest, len(lanes)), -1, np.int32)
+    fresh = np.zeros((longest, len(lanes)), bool)
     for i, lane in enumerate(lanes):
         at = 0
         for d in lane:
-            n = int(bounds[d + 1] - bounds[d])
-            y[i, at : at + n] = ids[bounds[d] : bounds[d + 1]]
-            doc[i, at : at + n] = d
-            fresh[i, at] = True
+            n = int(lengths[d])
+            y[at : at + n, i] = ids[bounds[d] : bounds[d + 1]]
+            doc[at : at + n, i] = d
+            fresh[at : at + 1, i] = True
             at += n
     x = np.empty_like(y)
-    x[:, 1:] = y[:, :-1]
-    x[fresh] = start_id
-    return tuple(np.ascontiguousarray(a.T) for a in (y, x, fresh, doc))
+    x[1:] = y[:-1]
+    x[fresh] = start if np.ndim(start) == 0 else start[doc[fresh]]
+    return y, x, fresh, doc
+
+
+def cut_runs(ids: np.ndarray, bounds: np.ndarray, start: int, run: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bounds, input before each) of documents cut into runs of at most ``run`` tokens."""
+    size = np.diff(bounds)
+    n = np.maximum(1, -(-size // run))
+    first = np.repeat(bounds[:-1], n) + run * (np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n))
+    before = np.where(np.isin(first, bounds[:-1]), start, ids[np.maximum(first - 1, 0)] if len(ids) else start)
+    return np.append(first, bounds[-1:]), before.astype(np.int32)
 
 
 def train(par: dict, ids: np.ndarray, bounds: np.ndarray, epochs: int = 3, lanes: int = 48, rate: float = 0.01, fall: float = 0.9, moments: dict | None = None) -> dict:
     """Truncated backpropagation over windows, with the state carried between them.
 
-    The rate falls by ``fall`` of itself; ``moments`` carries the optimizer's state from call to call.
+    A document of more than RUN tokens is learned from in runs of so many, which
+    start from an empty state after the token before, so that long documents
+    don't keep few lanes busy. The rate falls by ``fall`` of itself; ``moments`` carries the optimizer's state from call to call.
     """
     hidden, start = len(par["u"]), len(par["x"]) - 1
-    y, x, fresh, doc = _lay_out(ids, bounds, lanes, start)
+    bounds, before = cut_runs(ids, bounds, start, RUN)
+    y, x, fresh, doc = _lay_out(ids, bounds, lanes, before)
     moments = new_moments(par) if moments is None else moments
     first, second = moments["first"], moments["second"]
+    grad, spare = ({k: np.empty_like(v) for k, v in par.items()} for _ in range(2))
     done, total = 0, epochs * -(-len(y) // WINDOW)
     for _ in range(epochs):
-        h = np.zeros((y.shape[1], hidden), np.float32)
+        h = np.zeros((hidden, y.shape[1]), par["u"].dtype)
         for lo in range(0, len(y), WINDOW):
-            tape, outs = [], []
-            for s in range(lo, min(lo + WINDOW, len(y))):
-                keep = ~fresh[s][:, None]
-                h = h * keep
-                new, z, r, n, hu = _step(par, h, x[s])
-                tape.append((h, z, r, n, hu, keep))
-                outs.append(new)
-                h = new
-            steps = len(tape)
-            mask = (doc[lo : lo + steps] >= 0).ravel()
-            flat = np.concatenate(outs)
-            grad = {k: np.zeros_like(v) for k, v in par.items()}
-            _output(par, flat[mask], y[lo : lo + steps].ravel()[mask], grad)
-            dout = np.zeros_like(flat)
-            dout[mask] = grad.pop("h") / max(1, mask.sum())
+            hi = min(lo + WINDOW, len(y))
+            for k in ("wc", "bc", "ww", "bw", "u", "x"):
+                grad[k].fill(0)
+            gates, keep = _gates(par, x[lo:hi]), (~fresh[lo:hi]).astype(h.dtype)
+            states, was, added, u = np.empty((hi - lo, *h.shape), h.dtype), [], [], np.ascontiguousarray(par["u"].T)
+            for s in range(hi - lo):
+                was.append(h * keep[s])
+                states[s], hu = _step(u, was[s], gates[s])
+                added.append(hu)
+                h = states[s]
+            mask = (doc[lo:hi] >= 0).ravel()
+            flat = np.ascontiguousarray(states.transpose(0, 2, 1)).reshape(-1, hidden)
+            n, whole = max(1, int(mask.sum())), bool(mask.all())
+            _output(par, flat if whole else flat[mask], y[lo:hi].ravel() if whole else y[lo:hi].ravel()[mask], grad)
+            if whole:
+                dout = grad.pop("h")
+            else:
+                dout = np.zeros_like(flat)
+                dout[mask] = grad.pop("h")
             for k in ("wc", "bc", "ww", "bw"):
-                grad[k] /= max(1, mask.sum())
-            dout = dout.reshape(steps, -1, hidden)
-            dh = np.zeros_like(h)
-            dgs = np.empty((steps, len(h), 3 * hidden), dout.dtype)
-            for s in reversed(range(steps)):
-                was, z, r, n, hu, keep = tape[s]
-                d = dh + dout[s]
+                grad[k] /= n
+            dout /= n
+            dout = np.ascontiguousarray(dout.reshape(hi - lo, -1, hidden).transpose(0, 2, 1))
+            dh, dhu = np.zeros_like(h), np.empty((3 * hidden, h.shape[1]), h.dtype)
+            for s in reversed(range(hi - lo)):
+                g = gates[s]  # becomes the gradient of the gates' input
+                z, r, new = g[:hidden], g[hidden : 2 * hidden], g[2 * hidden :]
+                d = dout[s]
+                d += dh
                 dz = d * z
-                da = (d - dz) * (1 - n * n)
-                dg = dgs[s]
-                dg[:, :hidden] = dz * (was - n) * (1 - z)
+                da = (d - dz) * (1 - new * new)
                 dar = da * r
-                dg[:, hidden : 2 * hidden] = dar * hu[:, 2 * hidden :] * (1 - r)
-                dg[:, 2 * hidden :] = da
-                dhu = dg.copy()
-                dhu[:, 2 * hidden :] = dar
-                grad["u"] += was.T @ dhu
-                dh = (dz + dhu @ par["u"].T) * keep
-            words = x[lo : lo + steps].ravel()
-            order = np.argsort(words, kind="stable")
+                np.multiply(dar * added[s], 1 - r, out=dhu[hidden : 2 * hidden])
+                np.multiply(dz * (was[s] - new), 1 - z, out=dhu[:hidden])
+                dhu[2 * hidden :] = dar
+                g[: 2 * hidden] = dhu[: 2 * hidden]
+                g[2 * hidden :] = da
+                grad["u"] += was[s] @ dhu.T
+                dh = par["u"] @ dhu
+                dh += dz
+                dh *= keep[s]
+            words = x[lo:hi].ravel()
+            order = np.argsort(words.astype(np.uint16) if start < 1 << 16 else words, kind="stable")
             words = words[order]
             cut = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
-            grad["x"][words[cut]] = np.add.reduceat(dgs.reshape(-1, 3 * hidden)[order], cut)
+            rows = np.ascontiguousarray(gates.transpose(0, 2, 1)).reshape(-1, 3 * hidden)
+            grad["x"][words[cut]] = np.add.reduceat(rows[order], cut)
             done += 1
             moments["t"] += 1
             t = moments["t"]
-            norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
+            norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grad.values()))
             scale = min(1.0, 1.0 / (norm + 1e-9))
             lr = rate * (1 - fall * done / total) * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
             for k, g in grad.items():
                 g *= scale
-                first[k] *= 0.9
-                first[k] += 0.1 * g
+                old = spare[k]
+                np.subtract(g, first[k], old)
+                old *= 0.1
+                first[k] += old
                 g *= g
+                g -= second[k]
                 g *= 0.001
-                second[k] *= 0.999
                 second[k] += g
                 np.sqrt(second[k], g)
                 g += 1e-8
@@ -344,11 +409,11 @@ def _learn(shared, turn: int, rounds: int):
         def fit() -> None:
             bounds = np.concatenate([[0], np.cumsum(np.concatenate([n for _, n in pool]))])
             # about as many windows a round in small corpora as in large ones
-            lanes = min(192, max(48, held // 4096))
+            lanes = min(256, max(48, held // 4096))
             train(par, np.concatenate([x for x, _ in pool]), bounds, 1, lanes, 0.01 * (1 - 0.9 * (turn + 0.5) / rounds), 0.0, moments)
 
-        for block, docs, texts in each_block(batches):
-            mine = [j for j, i in enumerate(docs) if (block + j) % ROUNDS == turn % ROUNDS and not is_held_out(i)]
+        for _, docs, texts in each_block(batches):
+            mine = [j for j, i in enumerate(docs) if not is_held_out(i)]
             if not mine:
                 continue
             h, bounds = _tokens(texts.take(pa.array(mine)))
@@ -391,7 +456,8 @@ def fit_rounds(blocks: DataFrame, model: Model, n_all: int) -> int:
     moments, learned = new_moments(model.par), 0
     for turn in range(ROUNDS * passes if n_all else 0):
         shared = spark.sparkContext.broadcast((model, moments))
-        rows = tasks.mapInArrow(_learn(shared, turn, ROUNDS * passes), "bucket int, part int, n long, steps long, values binary")
+        own = tasks.filter(F.pmod(F.col("block") + F.shiftright("block", 24), F.lit(ROUNDS)) == turn % ROUNDS)
+        rows = own.mapInArrow(_learn(shared, turn, ROUNDS * passes), "bucket int, part int, n long, steps long, values binary")
         got = by_bucket(rows, _average, "bucket int, n long, steps long, values binary").collect()
         shared.unpersist()
         if not got:
@@ -413,19 +479,19 @@ def log_likelihood(par: dict, ids: np.ndarray, bounds: np.ndarray, lanes: int =
     y, x, fresh, doc = _lay_out(ids, bounds, lanes, len(par["x"]) - 1)
     running = (doc >= 0).sum(1)
     out = np.zeros(docs)
-    h = np.zeros((y.shape[1], hidden), np.float32)
+    h, u = np.zeros((hidden, y.shape[1]), par["u"].dtype), np.ascontiguousarray(par["u"].T)
     for lo in range(0, len(y), WINDOW):
         outs, hi = [], min(lo + WINDOW, len(y))
-        for s in range(lo, hi):
-            h = h[: running[s]]
-            if fresh[s].any():
-                h = h * ~fresh[s, : running[s], None]
-            h = _step(par, h, x[s, : running[s]])[0]
-            outs.append(h)
-        d = doc[lo:hi].ravel()
-        d = d[d >= 0]
-        flat_y = y[lo:hi][doc[lo:hi] >= 0]
-        out += np.bincount(d, _output(par, np.concatenate(outs), flat_y), docs)
+        gates, anew = _gates(par, x[lo:hi, : running[lo]]), fresh[lo:hi].any(1)
+        for s in range(hi - lo):
+            m = running[lo + s]
+            h = h[:, :m]
+            if anew[s]:
+                h = h * ~fresh[lo + s, :m]
+            h, _ = _step(u, h, gates[s, :, :m])
+            outs.append(h.T)
+        here = doc[lo:hi] >= 0
+        out += np.bincount(doc[lo:hi][here], _output(par, np.concatenate(outs), y[lo:hi][here]), docs)
     return out
 
 
