@@ -11,11 +11,15 @@ edit distance. Lengths and edits count bytes of UTF-8; lines under
 
 Equal lines are one node from the start. A key that more than ``HOT`` lines
 share is not expanded: its lines are keyed again by the segments of what is
-left of them without the shared one (which must also agree within ``TAU``
-edits), so a common start or end of many lines does not meet in one place.
-
-Scale: one shuffle of (hash, place) of lines and one of 12 keys a line; texts
-move only for lines that have a candidate.
+left of them without the shared segment and without the start and end that the
+whole group shares (these rests must also agree within ``TAU`` edits), and so
+on until no key is hot. A segment without bytes, which only rests of up to
+``2 * TAU`` bytes have, is the end of it: nearly all its pairs are links.
+
+Scale: lines are cut and hashed once, into a table of (hash, place); one
+shuffle of it and one of 12 keys a line. Texts move only for lines that have a
+candidate, and only the documents in which such lines occur first are read
+again.
 """
 
 from __future__ import annotations
@@ -40,7 +44,7 @@ MAX_BROADCAST_LINES = 200_000
 _NEWLINE = np.zeros(256, bool)
 _NEWLINE[0x0A] = True
 _MASK = (1 << 64) - 1
-PROBE, INDEX = 1, 2
+PROBE, INDEX, LAST = 1, 2, 4
 
 
 def edits_within(a: bytes, b: bytes, limit: int = TAU) -> int | None:
@@ -58,16 +62,21 @@ def edits_within(a: bytes, b: bytes, limit: int = TAU) -> int | None:
     a, b = a[lo : len(a) - hi], b[lo : len(b) - hi]
     if not b:
         return len(a)
-    places: dict[int, int] = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << i
+    # For each byte the rows of the band in which it occurs: bit 63 is row (seen - 1), whatever is older has moved out.
+    places: dict[int, tuple[int, int]] = {}
+    seen = 0
     # Bit 63 lies on the band's lower diagonal; the window moves down one row a column.
     below = max(0, limit - len(a))  # rows of the band under a short text
     up, down, dist, at = (_MASK << (63 - limit)) & _MASK, 0, limit - below, limit - 63
     edge, give_up = 1 << (62 - below), limit + len(b) - max(0, len(a) - limit)
     for j, c in enumerate(b):
-        p = places.get(c, 0)
-        x = (p >> at if at >= 0 else p << -at) & _MASK
+        while seen < min(len(a), at + 64):
+            bits, top = places.get(a[seen], (0, seen))
+            places[a[seen]] = (bits >> (seen - top) | 1 << 63 if seen - top < 64 else 1 << 63), seen
+            seen += 1
+        bits, top = places.get(c, (0, at))
+        move = at + 63 - top  # bit 63 is to be row (at + 63)
+        x = bits >> move if move < 64 else 0
         diag = ((((x & up) + up) & _MASK) ^ up) | x | down
         right, left = down | (~(diag | up) & _MASK), diag & up
         if j < len(a) - limit:
@@ -83,8 +92,8 @@ def edits_within(a: bytes, b: bytes, limit: int = TAU) -> int | None:
     return dist if dist <= limit else None
 
 
-def _spans(length: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, int]]:
-    """(segment, length difference, start, end, which lines, roles) of every key of lines."""
+def _spans(length: np.ndarray, least: int = 1) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray, int]]:
+    """(segment, length difference, start, end, which lines, roles) of every key of lines; indexed ones have ``least`` bytes."""
     for gap in range(TAU + 1):  # the indexed line is this much shorter
         short = length - gap
         for i in range(TAU + 1):
@@ -92,7 +101,7 @@ def _spans(length: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarra
             for move in range(-TAU, TAU + 1):
                 if abs(move) > i or abs(move - gap) > TAU - i:
                     continue
-                ok = (first + move >= 0) & (last + move <= length) & (short > 0)
+                ok = (first + move >= 0) & (last + move <= length) & (short >= least)
                 yield i, gap, first + move, last + move, ok, PROBE | (INDEX if gap == 0 and move == 0 else 0)
 
 
@@ -124,89 +133,159 @@ def _line_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield _keyed(np.concatenate(keys), np.concatenate(lines), np.concatenate(roles))
 
 
+_ROWS = pa.schema([("key", pa.int64()), ("line", pa.int64()), ("role", pa.int8())])
+_REST_ROWS = pa.schema([*_ROWS, ("spot", pa.int64()), ("path", pa.binary())])
+
+
 def _keyed(key: np.ndarray, line: np.ndarray, role: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(line.view(np.int64)), pa.array(role)], ["key", "line", "role"])
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(line.view(np.int64)), pa.array(role)], schema=_ROWS)
+
+
+def _without(raw: bytes, path: bytes) -> bytes:
+    """What is left of a line after its spans in ``path`` are cut out one by one."""
+    for s, e in np.frombuffer(path, "<i4").reshape(-1, 2).tolist():
+        raw = raw[:s] + raw[e:]
+    return raw
+
+
+def _step_out(*spans: tuple[int, int]) -> bytes:
+    return np.array([x for span in spans if span[0] < span[1] for x in span], "<i4").tobytes()
+
 
+def _matching(raw: bytes, key: int) -> Iterator[bytes]:
+    """Paths of one step: every span of a line that gives this key of the first level."""
+    words = next(split_words(pa.array([raw.decode()], pa.large_string()), False, _NEWLINE), None)
+    if words is not None:
+        n = np.array([len(raw)])
+        for i, gap, s, e, ok, _ in _spans(n):
+            if ok[0] and int(mix64(words.hashes(s, e) ^ _salt(i, n - gap)).view(np.int64)[0]) == key:
+                yield _step_out((int(s[0]), int(e[0])))
 
-def _second_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Keys of what remains of a line without the segment that made its key hot."""
+
+def _rests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What remains of each line without the segment that made its key hot, forwards and backwards."""
+    schema = pa.schema([*_ROWS, ("path", pa.binary()), ("rest", pa.binary()), ("back", pa.binary())])
     for b in batches:
-        keys, lines, roles = [], [], []
-        for key, line, text in zip(b.column("key").to_pylist(), b.column("line").to_pylist(), b.column("line_text").to_pylist()):
+        out = []
+        for key, line, role, path, text in zip(*(b.column(c).to_pylist() for c in ("key", "line", "role", "path", "line_text"))):
             raw = (text or "").encode()
-            words = next(split_words(pa.array([text or ""], pa.large_string()), False, _NEWLINE), None)
-            if words is None:
-                continue
-            n = np.array([len(raw)])
-            for i, gap, s, e, ok, role in _spans(n):
+            for p in set(_matching(raw, key)) if path is None else (path,):
+                rest = _without(raw, p)
+                out.append((key, line, role, p, rest, rest[::-1]))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+
+
+def _common(a: bytes, b: bytes) -> int:
+    """Length of the common start."""
+    n = min(len(a), len(b))
+    x, y = (np.frombuffer(t, np.uint8, n) for t in (a, b))
+    differ = np.flatnonzero(x != y)
+    return int(differ[0]) if len(differ) else n
+
+
+def _rest_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of the rests of a group, without the start and the end that all of them share."""
+    for b in batches:
+        out: list[tuple] = []
+        for key, line, role, path, rest, lo, hi, back_lo, back_hi, least in zip(
+            *(b.column(c).to_pylist() for c in ("key", "line", "role", "path", "rest", "lo", "hi", "back_lo", "back_hi", "least"))
+        ):
+            start = _common(lo, hi)
+            end = min(_common(back_lo, back_hi), least - start)
+            mid = rest[start : len(rest) - end]
+            under = mix64(np.array([key], np.int64).view(np.uint64))
+            trim = _step_out((len(rest) - end, len(rest)), (0, start))
+            n = np.array([len(mid)])
+            for i, gap, s, e, ok, own in _spans(n, 0):
                 if not ok[0]:
                     continue
-                k = mix64(words.hashes(s, e) ^ _salt(i, n - gap))
-                if int(k.view(np.int64)[0]) != key:
-                    continue
-                rest = raw[: s[0]] + raw[e[0] :]
-                m = np.array([len(rest)])
-                for i2, gap2, s2, e2, ok2, role2 in _spans(m):
-                    if ok2[0]:
-                        part = _hash64([rest[s2[0] : e2[0]]]) ^ _salt(i2, m - gap2) ^ mix64(np.array([key], np.int64).view(np.uint64))
-                        keys.append(mix64(part))
-                        lines.append(line)
-                        # the first level's role limits the second's
-                        roles.append(role2 if role & INDEX else role2 & PROBE)
-        if keys:
-            yield _keyed(np.concatenate(keys), np.array(lines, np.int64).view(np.uint64), np.array(roles, np.int8))
-
-
-def _meet(hot: int | None):
-    """Pairs of lines under equal keys; of keys with more than ``hot`` lines, their rows."""
-    schema = pa.schema([("hot", pa.bool_()), ("a", pa.int64()), ("b", pa.int64()), ("role", pa.int8())])
+                s, e = int(s[0]), int(e[0])
+                k = mix64(_hash64([mid[s:e]]) ^ _salt(i, n - gap) ^ under).view(np.int64)[0]
+                cut = path + trim + _step_out((s, e))
+                # the first level's role limits the next one's
+                out.append((k, line, (own if role & INDEX else own & PROBE) | (0 if s < e else LAST), int(_hash64([cut]).view(np.int64)[0]), cut))
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _REST_ROWS.types)], schema=_REST_ROWS)
+
+
+def _meet(most: int):
+    """Pairs of lines under equal keys; of keys with more than ``most`` lines, their rows.
+
+    Rows come sorted by (key, line). A group is held until its end, and given
+    on as it is as soon as it is hot, unless its keys are of empty segments.
+    """
+    schema = pa.schema([("hot", pa.bool_()), ("a", pa.int64()), ("b", pa.int64()), ("role", pa.int8()), ("path", pa.binary())])
+
+    def paired(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        n = len(a)
+        return pa.RecordBatch.from_arrays([pa.array(np.zeros(n, bool)), pa.array(a), pa.array(b), pa.array(np.zeros(n, np.int8)), pa.nulls(n, pa.binary())], schema=schema)
 
     def pairs(line: np.ndarray, role: np.ndarray) -> Iterator[pa.RecordBatch]:
-        index = line[role & INDEX > 0]
+        index, line = np.unique(line[role & INDEX > 0]), np.unique(line)
         for lo in range(0, len(index), 256):
             x, y = np.repeat(index[lo : lo + 256], len(line)), np.tile(line, len(index[lo : lo + 256]))
             new = x != y
             a, b = np.minimum(x, y)[new], np.maximum(x, y)[new]
             if len(a):
                 ab = np.unique(np.stack([a, b], 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(ab), bool)), pa.array(ab[:, 0]), pa.array(ab[:, 1]), pa.array(np.zeros(len(ab), np.int8))], schema=schema)
+                yield paired(ab[:, 0], ab[:, 1])
 
-    def rows(key: int, line: np.ndarray, role: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.ones(len(line), bool)), pa.array(np.full(len(line), key)), pa.array(line), pa.array(role)], schema=schema)
+    def rows(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        path = t.column("path") if "path" in t.column_names else pa.chunked_array([pa.nulls(t.num_rows, pa.binary())])
+        out = pa.table([pa.array(np.ones(t.num_rows, bool)), t.column("key"), t.column("line"), t.column("role"), path], schema=schema)
+        yield from out.to_batches(max_chunksize=1 << 16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, lines, roles, big = None, np.zeros(0, np.int64), np.zeros(0, np.int8), False
-
-        def add(line: np.ndarray, role: np.ndarray) -> None:
-            nonlocal lines, roles
-            lines, roles = np.concatenate([lines, line]), np.concatenate([roles, role])
-            lines, inverse = np.unique(lines, return_inverse=True)
-            merged = np.zeros(len(lines), np.int8)
-            np.bitwise_or.at(merged, inverse, roles)
-            roles = merged
-
-        for b in batches:
-            key, line, role = (b.column(c).to_numpy() for c in ("key", "line", "role"))
+        held: pa.Table | None = None
+        hot_key = None
+
+        def groups(t: pa.Table, whole: bool) -> Iterator[pa.RecordBatch]:
+            """All groups of ``t``; its last one too only if it is ``whole``, else it is held."""
+            nonlocal held, hot_key
+            held = None
+            key, line, role = (t.column(c).to_numpy() for c in ("key", "line", "role"))
+            if hot_key is not None:
+                n = int(np.searchsorted(key != hot_key, True))
+                if n:
+                    yield from rows(t.slice(0, n))
+                    t, key, line, role = t.slice(n), key[n:], line[n:], role[n:]
+                if len(key):
+                    hot_key = None
             if not len(key):
-                continue
+                return
             cut = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             ends = np.append(cut[1:], len(key))
-            # groups that lie within the batch and hold one row meet nobody
-            busy = (ends - cut > 1) | (np.arange(len(cut)) == 0) | (np.arange(len(cut)) == len(cut) - 1)
-            for x, y in zip(cut[busy].tolist(), ends[busy].tolist()):
-                if key[x] != at:
-                    if at is not None and not big:
-                        yield from pairs(lines, roles)
-                    at, lines, roles, big = key[x], line[:0], role[:0], False
-                if big:
-                    yield rows(at, line[x:y], role[x:y])
-                    continue
-                add(line[x:y], role[x:y])
-                if hot is not None and len(lines) > hot:
-                    yield rows(at, lines, roles)
-                    big = True
-        if at is not None and not big:
-            yield from pairs(lines, roles)
+            fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (line[1:] != line[:-1])])
+            lines = np.add.reduceat(fresh.astype(np.int64), cut)
+            last = np.bitwise_or.reduceat(role, cut) & LAST > 0
+            if not whole:
+                x = int(cut[-1])
+                if lines[-1] > most and not last[-1]:
+                    yield from rows(t.slice(x))
+                    hot_key = int(key[-1])
+                else:
+                    held = t.slice(x)
+                cut, ends, lines, last = cut[:-1], ends[:-1], lines[:-1], last[:-1]
+            two = np.flatnonzero((lines == 2) & (ends - cut == 2))
+            x, y = cut[two], cut[two] + 1
+            meet = (role[x] | role[y]) & INDEX > 0
+            if meet.any():
+                x, y = line[x][meet], line[y][meet]
+                yield paired(np.minimum(x, y), np.maximum(x, y))
+            for g in np.flatnonzero((lines > 1) & ~((lines == 2) & (ends - cut == 2))).tolist():
+                x, y = int(cut[g]), int(ends[g])
+                if lines[g] > most and not last[g]:
+                    yield from rows(t.slice(x, y - x))
+                else:
+                    yield from pairs(line[x:y], role[x:y])
+
+        for b in batches:
+            if b.num_rows:
+                now = pa.Table.from_batches([b])
+                yield from groups(pa.concat_tables([held, now]).combine_chunks() if held is not None else now, False)
+        if held is not None:
+            yield from groups(held, True)
 
     return run
 
@@ -223,40 +302,56 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _lines_of(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", F.xxhash64("text").alias("version"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line_text")).withColumns(
-        {"h1": F.xxhash64("line_text"), "h2": F.xxhash64("line_text", F.lit(1))}
+    blank = F.trim(F.translate("line_text", "\t\r\x0b\x0c", "    ")) == ""
+    return docs.select("doc_id", F.xxhash64("text").alias("version"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line_text")).select(
+        "doc_id", "version", "line_no", F.xxhash64("line_text").alias("h1"), F.xxhash64("line_text", F.lit(1)).alias("h2"), blank.alias("blank")
     )
 
 
-def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """Distinct (h1, h2, line_text) of the lines whose h1 is in ``wanted`` (h1)."""
-    wanted = stash(wanted.distinct(), "wanted")
-    if wanted.limit(MAX_BROADCAST_LINES + 1).count() <= MAX_BROADCAST_LINES:
-        wanted = F.broadcast(wanted)
-    return _lines_of(docs).join(wanted, "h1", "left_semi").groupBy("h1", "h2").agg(F.min("line_text").alias("line_text"))
+def _small(rows: DataFrame, label: str) -> DataFrame:
+    """``rows`` in a table of their own, to be broadcast if they are at most MAX_BROADCAST_LINES."""
+    rows = stash(rows, label)
+    return F.broadcast(rows) if rows.limit(MAX_BROADCAST_LINES + 1).count() <= MAX_BROADCAST_LINES else rows
+
 
+def _texts(docs: DataFrame, lines: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Distinct (h1, h2, line_text) of the lines whose h1 is in ``wanted`` (h1), read where they occur first."""
+    wanted = _small(wanted.distinct(), "wanted")
+    where = lines.join(wanted, "h1", "left_semi").groupBy(F.col("first.doc_id").alias("_at")).agg(F.collect_set("first.line_no").alias("_nos"))
+    where = _small(where, "places")
+    found = docs.join(where, docs["doc_id"].eqNullSafe(where["_at"])).select(F.explode("_nos").alias("_no"), F.split(F.coalesce("text", F.lit("")), "\n", -1).alias("_lines"))
+    found = found.select(F.get("_lines", "_no").alias("line_text")).filter("line_text is not null")
+    found = found.select(F.xxhash64("line_text").alias("h1"), F.xxhash64("line_text", F.lit(1)).alias("h2"), "line_text")
+    return found.join(wanted, "h1", "left_semi").groupBy("h1", "h2").agg(F.min("line_text").alias("line_text"))
 
-def line_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(lines, links): distinct lines (line, h1, h2, first, n) and pairs (a, b) of line ids within TAU edits."""
+
+def line_links(docs: DataFrame, occurrences: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lines, links) of texts and their ``_lines_of``: distinct lines (line, h1, h2, first, n) and pairs (a, b) of line ids within TAU edits."""
     bounded_batches(docs.sparkSession)
     n = partitions(docs.sparkSession)
-    occurrences = _lines_of(docs).select("doc_id", "line_no", "h1", "h2")
     lines = occurrences.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n"))
     lines = stash(lines.withColumn("line", F.monotonically_increasing_id()), "lines")
 
-    def met(keys: DataFrame, hot: int | None) -> DataFrame:
-        placed = keys.repartition(n, "key").sortWithinPartitions("key")
-        return stash(placed.mapInArrow(_meet(hot), "hot boolean, a long, b long, role byte"), "met")
-
-    one = met(docs.select("text").mapInArrow(_line_keys, "key long, line long, role byte"), HOT)
-    pairs = one.filter("not hot").select("a", "b")
-    hot = one.filter("hot").select(F.col("a").alias("key"), F.col("b").alias("line")).distinct()
-    if not hot.isEmpty():
-        texts = _texts(docs, hot.select(F.col("line").alias("h1")))
-        two = hot.join(texts, hot["line"] == texts["h1"]).select("key", "line", "line_text").mapInArrow(_second_keys, "key long, line long, role byte")
-        pairs = pairs.unionByName(met(two, None).select("a", "b"))
+    def met(keys: DataFrame) -> DataFrame:
+        placed = keys.repartition(n, "key").sortWithinPartitions("key", "line")
+        return stash(placed.mapInArrow(_meet(HOT), "hot boolean, a long, b long, role byte, path binary"), "met")
+
+    found = met(docs.select("text").mapInArrow(_line_keys, "key long, line long, role byte"))
+    pairs = found.filter("not hot").select("a", "b")
+    while True:
+        hot = found.filter("hot").select(F.col("a").alias("key"), F.col("b").alias("line"), "role", "path")
+        if hot.isEmpty():
+            break
+        texts = _texts(docs, lines, hot.select(F.col("line").alias("h1"))).select("h1", "line_text")
+        rests = hot.join(texts, hot["line"] == texts["h1"]).select("key", "line", "role", "path", "line_text")
+        rests = stash(rests.mapInArrow(_rests, "key long, line long, role byte, path binary, rest binary, back binary"), "rests")
+        ends = [f("rest").alias(a) for a, f in (("lo", F.min), ("hi", F.max))] + [f("back").alias(f"back_{a}") for a, f in (("lo", F.min), ("hi", F.max))]
+        groups = rests.groupBy("key").agg(*ends, F.min(F.length("rest")).alias("least"), F.max(F.col("role").bitwiseAND(INDEX)).alias("_any"))
+        keyed = rests.drop("back").join(_small(groups.filter("_any > 0").drop("_any"), "groups"), "key")  # probes alone meet nobody
+        found = met(keyed.mapInArrow(_rest_keys, "key long, line long, role byte, spot long, path binary").dropDuplicates(["key", "line", "spot"]))
+        pairs = pairs.unionByName(found.filter("not hot").select("a", "b"))
     pairs = stash(pairs.distinct(), "line-pairs")
-    texts = _texts(docs, pairs.select(F.col("a").alias("h1")).unionByName(pairs.select(F.col("b").alias("h1"))))
+    texts = _texts(docs, lines, pairs.select(F.col("a").alias("h1")).unionByName(pairs.select(F.col("b").alias("h1"))))
     texts = stash(texts.join(lines.select("h1", "h2", "line"), ["h1", "h2"]), "line-texts")
     ta, tb = (texts.select(F.col("h1").alias(f"h{s}"), F.col("line").alias(f"l{s}"), F.col("line_text").alias(f"t{s}")) for s in ("a", "b"))
     candidates = pairs.join(ta, F.col("a") == F.col("ha")).join(tb, F.col("b") == F.col("hb")).select(F.col("la").alias("a"), F.col("lb").alias("b"), "ta", "tb")
@@ -284,7 +379,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 def _judged(docs: DataFrame) -> DataFrame:
     """The rows of ``dedup_lines`` with the ``version`` (hash of the text) that they belong to."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    lines, links = line_links(docs)
+    occurrences = stash(_lines_of(docs), "occurrences")
+    lines, links = line_links(docs, occurrences)
     comps = connected_components(links)
     degree = links.select(F.col("a").alias("line")).unionByName(links.select(F.col("b").alias("line"))).groupBy("line").agg(F.count(F.lit(1)).alias("links"))
     classes = comps.join(lines.select(F.col("line").alias("node"), "first"), "node")
@@ -292,8 +388,6 @@ def _judged(docs: DataFrame) -> DataFrame:
     linked = comps.join(firsts, "component").join(degree, comps["node"] == degree["line"]).select("line", "class_first", "links")
     judged = lines.join(linked, "line", "left").select("h1", "h2", F.coalesce("class_first", "first").alias("first"), F.coalesce("links", F.lit(0)).alias("links"))
     at = F.struct("doc_id", "line_no")
-    blank = F.trim(F.translate("line_text", "\t\r\x0b\x0c", "    ")) == ""
-    occurrences = _lines_of(docs).select("doc_id", "version", "line_no", "h1", "h2", blank.alias("blank"))
     each = F.sort_array(F.collect_set(F.struct("line_no", "gone", "links", "first_doc")))
     return (
         occurrences.join(judged, ["h1", "h2"])
@@ -314,12 +408,20 @@ def _judged(docs: DataFrame) -> DataFrame:
 
 
 def drop_duplicate_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with the lines that ``dedup_lines`` removes cut out of ``text``."""
+    """``docs`` with the lines that ``dedup_lines`` removes cut out of ``text``.
+
+    Rows and columns stay, also those named like this operator's own; a row
+    from which nothing is removed (a null or empty text, for one) keeps its
+    text as it is; a text of which nothing stays becomes empty.
+    """
     found = _judged(docs).filter("n_removed > 0").select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), F.col("removed_lines").alias("_gone"))
-    kept = F.filter(F.split("text", "\n", -1), lambda x, i: ~F.array_contains("_gone", i))
-    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"].cast("string")) == F.col("_version"))
-    joined = docs.join(found, same, "left")
-    return joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).drop("_id", "_version", "_gone")
+    # the caller's columns travel as one, so no name can clash
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    same = F.col("_row.doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("_row.text").cast("string")) == F.col("_version"))
+    joined = rows.join(found, same, "left")
+    kept = F.filter(F.split(F.col("_row.text"), "\n", -1), lambda x, i: ~F.array_contains("_gone", i))
+    text = F.when(F.col("_gone").isNull(), F.col("_row.text")).otherwise(F.array_join(kept, "\n"))
+    return joined.select(*[text.alias(c) if c == "text" else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 ORACLE = r"""

@@ -238,7 +238,8 @@ def test_lines(docs, empty):
     assert got[3, 1].n_removed == 1 and got[15, 1].n_removed == 1 and got[1, 1].n_removed == 0
     assert got[4, 1].n_removed == got[5, 1].n_removed == 0
     assert linededup.dedup_lines(empty).count() == 0
-    cut = {r.doc_id: r.text for r in linededup.drop_duplicate_lines(docs).collect()}
+    clash = docs.withColumns({c: F.lit(c) for c in ("_id", "_gone", "_version", "_row", "version", "removed_lines")})
+    cut = {r.doc_id: r.text for r in linededup.drop_duplicate_lines(clash).filter("_gone = '_gone' and _row = '_row'").collect()}
     assert cut[12] == "line one of the text is here\nshort" and cut[4] is None
 
 
@@ -265,6 +266,38 @@ def test_hot_segments(spark, monkeypatch):
     assert sum(r[3] for r in whole.values()) == 2 * links >= 240
 
 
+@pytest.mark.parametrize("width", [3, 8])
+def test_lines_that_differ_in_a_number(spark, monkeypatch, width):
+    """A start, a middle and an end that all lines share: no link is lost, and candidates grow as the lines."""
+    rng = np.random.default_rng(7)
+    monkeypatch.setattr(linededup, "HOT", 16)
+    met, stash = {}, linededup.stash
+
+    def counted(df, label):
+        out = stash(df, label)
+        if label == "line-pairs":
+            met[n] = out.count()
+        return out
+
+    monkeypatch.setattr(linededup, "stash", counted)
+    for n in (150, 300):
+        marks = sorted({"".join(rng.choice(list("0123456789"), width)) for _ in range(n)})
+        lines = [f"every line of this log starts alike {m} and it ends alike as well" for m in marks]
+        lines += ["every line of this log starts alike or does it", "an outlier: every line of this log starts alike"]
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id long, text string")
+        got = {r.doc_id: r.n_links for r in linededup.dedup_lines(df).collect()}
+        near = lambda a, b: linededup.edits_within(a.encode(), b.encode()) is not None
+        assert got == {i: sum(near(a, b) for j, b in enumerate(lines) if i != j) for i, a in enumerate(lines)}
+    if width == 8:
+        assert met[300] < 300 * 40
+
+
+def test_edits_of_long_lines():
+    a = b"0123456789abcdef" * 4000
+    assert linededup.edits_within(a, a[:30] + a[31:50000] + b"x" + a[50000:]) == 2
+    assert linededup.edits_within(a, a[:30] + a[33:]) is None
+
+
 def test_edit_distance():
     def lev(a, b):
         row = list(range(len(b) + 1))
