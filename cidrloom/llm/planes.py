@@ -6,8 +6,9 @@ plane is compressed with zstandard by itself. Layout, little-endian::
 
     magic "CLP1"
     planes, one after the other
-    document table: zstandard of int64 doc ids, then of uint32 counts, then of null marks
-    footer: JSON with the chunk index (offset, ids, size of each plane) and the table's place
+    document table, a block after every TABLE_ROWS documents, between the planes: zstandard of
+        int64 doc ids, then of uint64 counts, then of null marks
+    footer: JSON with the chunk index (offset, ids, size of each plane) and the table's blocks
     uint64 length of the footer, magic "CLP1"
 
 Scale: documents are range-partitioned by id once, and each task encodes and
@@ -42,6 +43,10 @@ from .workspace import bounded_batches, filesystem, new_folder, partitions
 MAGIC = b"CLP1"
 CHUNK = 1 << 16
 END_ID = 0
+#: Pieces that the library encodes at once.
+PIECES = 2048
+#: Documents in a block of a file's document table.
+TABLE_ROWS = 1 << 16
 
 
 class PlaneWriter:
@@ -57,12 +62,17 @@ class PlaneWriter:
         self.chunks: list[tuple[int, int, list[int]]] = []
         self.docs: list[int | None] = []
         self.counts: list[int] = []
+        self.n_docs = 0
+        self.table: list[list[int]] = []
         self.at = sink.write(MAGIC) or len(MAGIC)
         self.at = len(MAGIC)
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         self.docs.append(doc_id)
         self.counts.append(len(ids))
+        self.n_docs += 1
+        if len(self.docs) == TABLE_ROWS:
+            self._write_table()
         self.held.append(ids)
         self.n_held += len(ids)
         self.total += len(ids)
@@ -87,12 +97,19 @@ class PlaneWriter:
         self.chunks.append((self.at, len(ids), sizes))
         self.at += sum(sizes)
 
+    def _write_table(self) -> None:
+        null = np.array([d is None for d in self.docs], np.uint8)
+        parts = [self.zip.compress(a.tobytes()) for a in (np.array([d or 0 for d in self.docs], "<i8"), np.array(self.counts, "<u8"), null)]
+        self.sink.write(b"".join(parts))
+        self.table.append([self.at, len(self.docs), *map(len, parts)])
+        self.at += sum(map(len, parts))
+        self.docs, self.counts = [], []
+
     def close(self) -> None:
         self._flush(True)
-        null = np.array([d is None for d in self.docs], np.uint8)
-        parts = [self.zip.compress(a.tobytes()) for a in (np.array([d or 0 for d in self.docs], "<i8"), np.array(self.counts, "<u4"), null)]
-        foot = json.dumps({"mode": self.mode, "chunks": self.chunks, "table": [self.at, len(self.docs), *map(len, parts)]}).encode()
-        self.sink.write(b"".join(parts) + foot + struct.pack("<Q", len(foot)) + MAGIC)
+        self._write_table()
+        foot = json.dumps({"mode": self.mode, "chunks": self.chunks, "table": self.table}).encode()
+        self.sink.write(foot + struct.pack("<Q", len(foot)) + MAGIC)
 
 
 class PlaneReader:
@@ -124,22 +141,25 @@ class PlaneReader:
             octets = np.packbits(bits.T, axis=1, bitorder="little")
         return np.ascontiguousarray(octets).view("<u4").reshape(-1)
 
+    def _rows(self) -> Iterator[tuple[int | None, int]]:
+        for at, _, *sizes in self.table:
+            parts = []
+            for s in sizes:
+                parts.append(zstandard.ZstdDecompressor().decompress(self._at(at, s)))
+                at += s
+            for d, c, missing in zip(*(np.frombuffer(x, t).tolist() for x, t in zip(parts, ("<i8", "<u8", "<u1")))):
+                yield (None if missing else d), c
+
     def documents(self) -> Iterator[tuple[int | None, np.ndarray]]:
-        at, n, *sizes = self.table
-        parts = []
-        for s in sizes:
-            parts.append(zstandard.ZstdDecompressor().decompress(self._at(at, s)))
-            at += s
-        docs, counts, null = np.frombuffer(parts[0], "<i8"), np.frombuffer(parts[1], "<u4"), np.frombuffer(parts[2], np.uint8)
         held, n_held, nxt = [], 0, 0
-        for d, c, missing in zip(docs.tolist(), counts.tolist(), null.tolist()):
+        for d, c in self._rows():
             while n_held < c:
                 held.append(self.chunk(nxt))
                 n_held += len(held[-1])
                 nxt += 1
             if len(held) > 1:
                 held = [np.concatenate(held)]
-            yield (None if missing else d), held[0][:c] if held else np.zeros(0, "<u4")
+            yield d, held[0][:c] if held else np.zeros(0, "<u4")
             if held:
                 held, n_held = [held[0][c:]], n_held - c
 
@@ -151,10 +171,19 @@ _TAIL = np.array([33 <= c < 127 and not chr(c).isalnum() for c in range(256)])
 _SPACED, _BARE = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 
 
+def _grown(a: np.ndarray, n: int) -> np.ndarray:
+    """``a``, or a copy with half as much room again, if it has fewer than ``n`` entries."""
+    if len(a) >= n:
+        return a
+    out = np.empty(max(n, len(a) * 3 // 2), a.dtype)
+    out[: len(a)] = a
+    return out
+
+
 class PieceTable:
     """Open-addressing table from 64-bit hashes of pieces to their ids, all in arrays."""
 
-    def __init__(self, bits: int = 22):
+    def __init__(self, bits: int = 21):
         self.bits = bits
         self.clear()
 
@@ -181,10 +210,8 @@ class PieceTable:
         """Insert distinct new hashes."""
         size = np.array([len(x) for x in ids], np.int32)
         flat = np.fromiter(itertools.chain.from_iterable(ids), "<u4", int(size.sum()))
-        while len(self.offset) < self.n + len(h):
-            self.offset, self.length = np.resize(self.offset, 2 * len(self.offset)), np.resize(self.length, 2 * len(self.length))
-        while len(self.ids) < self.used + len(flat):
-            self.ids = np.resize(self.ids, 2 * len(self.ids))
+        self.offset, self.length = _grown(self.offset, self.n + len(h)), _grown(self.length, self.n + len(h))
+        self.ids = _grown(self.ids, self.used + len(flat))
         new = np.arange(self.n, self.n + len(h))
         self.ids[self.used : self.used + len(flat)] = flat
         self.offset[new], self.length[new] = self.used + np.cumsum(size) - size, size
@@ -224,7 +251,11 @@ class Encoder:
         self.table = PieceTable()
 
     def _library(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        """Ids of texts, a few at a time: the library's own results take many times the ids' memory."""
+        out: list[list[int]] = []
+        for lo in range(0, len(texts), PIECES):
+            out.extend(e.ids for e in self.tok.encode_batch_fast(texts[lo : lo + PIECES], add_special_tokens=False))
+        return out
 
     def _learn(self, h: np.ndarray, start: np.ndarray, end: np.ndarray, spaced: np.ndarray, raw: bytes) -> np.ndarray:
         """Entries of all pieces, after the library has encoded those that are new."""
@@ -307,7 +338,7 @@ def _write_shards(uri: str, tokenizer: str, mode: str, chunk: int):
                     out.add(d, ids)
             out.close()
         yield pa.RecordBatch.from_pylist(
-            [{"shard": shard, "name": name, "n_docs": len(out.docs), "n_ids": out.total}],
+            [{"shard": shard, "name": name, "n_docs": out.n_docs, "n_ids": out.total}],
             pa.schema([("shard", pa.int32()), ("name", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]),
         )
 
@@ -329,7 +360,8 @@ def write_ids(docs: DataFrame, uri: str, tokenizer: str, mode: str = "byte", chu
     fs.create_dir(folder, recursive=True)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     if ordered:
-        rows = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
+        # by a text's start as well, so that rows of one id may be split
+        rows = rows.repartitionByRange(partitions(docs.sparkSession), F.col("doc_id"), F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
     rows = (
         rows.mapInArrow(_write_shards(uri, tokenizer, mode, chunk), "shard int, name string, n_docs long, n_ids long")
         .collect()  # one row a shard
