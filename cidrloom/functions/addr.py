@@ -14,6 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from .space import WIDE, wide
+
 SPACE = 1 << 32
 ERR_INVALID = "prefix is invalid"
 ERR_SHORT_MAPPED = "IPv4-mapped prefixes shorter than /96 cannot be inserted"
@@ -121,6 +123,25 @@ def normalize_prefix(text: Column, tree_bits: int = 128) -> Column:
     return run(text)
 
 
+def wide_prefix(text: Column) -> Column:
+    """struct<lo, plen, as4, error> of prefix text in the space of both families (see ``space.V6``)."""
+
+    @pandas_udf("h long, l long, plen int, as4 boolean, error string")
+    def run(s: pd.Series) -> pd.DataFrame:
+        out = []
+        for x in s:
+            raw, depth, as4, error = normalize_one(x, 128)
+            halves = (None, None) if raw is None else (int.from_bytes(raw[:8], "big", signed=True), int.from_bytes(raw[8:], "big", signed=True))
+            out.append((*halves, depth, as4, error))
+        frame = pd.DataFrame(out, columns=["h", "l", "plen", "as4", "error"])
+        return frame.astype({"h": "Int64", "l": "Int64", "plen": "Int32", "as4": "boolean"})
+
+    p = run(text)
+    return F.when(p["error"].isNull(), F.struct(wide(p["h"], p["l"]).alias("lo"), p["plen"].alias("plen"), p["as4"].alias("as4"), F.lit(None).cast("string").alias("error"))).otherwise(
+        F.struct(F.lit(None).cast(WIDE).alias("lo"), F.lit(None).cast("int").alias("plen"), F.lit(None).cast("boolean").alias("as4"), p["error"].alias("error"))
+    )
+
+
 def prefix_text_one(addr: bytes, depth: int, tree_bits: int, as4: bool) -> str:
     """Text of a tree-space prefix; ``as4`` asks for the IPv4 form."""
     if as4 and tree_bits == 128:

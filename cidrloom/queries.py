@@ -9,12 +9,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import addr, wire
+from .functions.space import V4, V6, halves, wide
 from .operators import audit, cidr, interpret, lookup, overlay, special
 from .plans.fixtures import SQL, load
+from .plans.tables import settle
 from .sources import csvsource, treefile
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,7 +162,50 @@ _RANGES = f"""{_with("rng")}, rlog AS (SELECT seq, start_ip AS lo, end_ip + 1 -
 @_register(_RANGES)
 def i4_insert_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     rng = load(spark, sf_dir, "rng").select("seq", "v", F.col("start_ip").alias("lo"), (F.col("end_ip") + 1).alias("hi"))
-    return overlay.overlay(cidr.range_to_prefixes(rng), ["v"]).select("lo", "hi", "v")
+    return overlay.range_overlay(rng, ["v"]).select("lo", "hi", "v")
+
+
+@_register(f"{_INS}, {_segments('ins')}, win AS (SELECT s.lo, s.hi, sum(l.v)::INT AS v FROM seg s JOIN ins l ON l.lo <= s.lo AND s.hi <= l.lo + l.sz GROUP BY s.lo, s.hi), {_islands('win')} SELECT lo, hi, v FROM runs")
+def i3_overlay_custom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A function of the caller's: the sum of all values that were inserted over an address."""
+    add = lambda old, new: F.coalesce(old, F.lit(0)) + new
+    return overlay.overlay(load(spark, sf_dir, "ins"), ["v"], add).select("lo", "hi", "v")
+
+
+@_register(f"{_with('rng')}, rlog AS (SELECT seq, start_ip AS lo, end_ip + 1 - start_ip AS sz, v FROM rng WHERE seq % 8 = 1), {_segments('rlog')}, win AS (SELECT s.lo, s.hi, max(l.v) AS v FROM seg s JOIN rlog l ON l.lo <= s.lo AND s.hi <= l.lo + l.sz GROUP BY s.lo, s.hi), {_islands('win')} SELECT lo, hi, v FROM runs")
+def i6_range_pure_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranges folded by a function of the caller's: the greatest value."""
+    rng = load(spark, sf_dir, "rng").filter("seq % 8 = 1").select("seq", "v", F.col("start_ip").alias("lo"), (F.col("end_ip") + 1).alias("hi"))
+    return overlay.range_overlay(rng, ["v"], lambda old, new: F.greatest(old, new)).select("lo", "hi", "v")
+
+
+#: The log in three parts of the space of both families: IPv4, the upper half and the lower half of IPv6 addresses.
+_WIDE_H = "CASE fam WHEN 0 THEN 0 WHEN 1 THEN 2594073385365405696 + {0} ELSE 2594073385365405697 + 8589934592 END"
+_WIDE_L = "CASE fam WHEN 0 THEN {0} WHEN 1 THEN 0 ELSE {0} * 4294967296 END"
+_PLACED = f"""{_INS_REC}, wlog AS (SELECT *, (seq % 3)::INT AS fam FROM ins),
+  ends AS (SELECT fam, lo AS b FROM wlog UNION SELECT fam, lo + sz FROM wlog),
+  seg AS (SELECT fam, b AS lo, lead(b) OVER (PARTITION BY fam ORDER BY b) AS hi FROM ends),
+  win AS (SELECT s.fam, s.lo, s.hi, arg_max(l.v, l.seq) AS v FROM seg s JOIN wlog l ON l.fam = s.fam AND l.lo <= s.lo AND s.hi <= l.lo + l.sz GROUP BY ALL),
+  mk AS (SELECT *, CASE WHEN lag(hi) OVER (PARTITION BY fam ORDER BY lo) = lo AND lag(v) OVER (PARTITION BY fam ORDER BY lo) = v THEN 0 ELSE 1 END AS nw FROM win),
+  gp AS (SELECT *, sum(nw) OVER (PARTITION BY fam ORDER BY lo) AS g FROM mk),
+  runs AS (SELECT fam, min(lo) AS lo, max(hi) AS hi, any_value(v) AS v FROM gp GROUP BY fam, g)"""
+
+
+def _placed(rows: DataFrame) -> DataFrame:
+    """Rows (seq, lo, plen) of 32-bit prefixes in the space of both families."""
+    fam, lo = F.col("seq") % 3, F.col("lo")
+    high = F.when(fam == 0, F.lit(0)).when(fam == 1, F.lit(2594073385365405696) + lo).otherwise(F.lit(2594073385365405697 + 8589934592))
+    low = F.when(fam == 0, lo).when(fam == 1, F.lit(0)).otherwise(lo * 4294967296)
+    plen = F.col("plen") + F.when(fam == 0, 96).when(fam == 1, 32).otherwise(64)
+    return rows.withColumns({"lo": wide(high.cast("long"), low.cast("long")), "plen": plen.cast("int")})
+
+
+@_register(f"{_PLACED} SELECT {_WIDE_H.format('lo')} AS lo_h, {_WIDE_L.format('lo')} AS lo_l, {_WIDE_H.format('hi')} AS hi_h, {_WIDE_L.format('hi')} AS hi_l, v FROM runs")
+def i1_overlay_ipv6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The overlay of networks of both families in one space of 128 bits."""
+    r = overlay.overlay(_placed(load(spark, sf_dir, "ins")), ["v"], space=V6)
+    (lh, ll), (hh, hl) = halves(F.col("lo")), halves(F.col("hi"))
+    return r.select(lh.alias("lo_h"), ll.alias("lo_l"), hh.alias("hi_h"), hl.alias("hi_l"), "v")
 
 
 @_register(f"{_INS_REC}, {_winners('ins')}, {_islands('win')}, {_greedy('runs', 'v')} SELECT lo, plen, v FROM pfx")
@@ -215,7 +260,7 @@ _TOTAL = f"""{_winners("ins")}, {_islands("win")},
 
 
 def _total(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlay.to_prefixes(overlay.total_cover(overlay.overlay(load(spark, sf_dir, "ins"), ["v"]), ["v"]))
+    return overlay.to_prefixes(overlay.overlay(load(spark, sf_dir, "ins"), ["v"], total=True))
 
 
 @_register(
@@ -226,6 +271,26 @@ def j1_lookup_miss(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.lookup(load(spark, sf_dir, "probe"), _total(spark, sf_dir)).select("id", "ip", "lo", "plen", "v")
 
 
+_PARTS = f"""{_PLACED.replace(_INS_REC, _with("ins", "probe", recursive=True))}, {_greedy("runs", "fam, v")}"""
+
+
+@_register(
+    f"""{_PARTS}, p AS (SELECT id, ip, (id % 4)::INT AS kind, CASE id % 4 WHEN 3 THEN 0 ELSE (id % 4)::INT END AS fam FROM probe)
+    SELECT p.id, (r.plen + CASE p.kind WHEN 0 THEN 0 WHEN 1 THEN 32 WHEN 2 THEN 64 ELSE 16 END)::INT AS bits, r.v
+    FROM p JOIN pfx r ON r.fam = p.fam AND p.ip >= r.lo AND p.ip < r.lo + (1::BIGINT << (32 - r.plen))"""
+)
+def j1_lookup_ipv6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lookups by text in both families, a quarter of them of 6to4 addresses: the length of the prefix as seen from the address."""
+    cover = special.tree_cover(overlay.overlay(_placed(load(spark, sf_dir, "ins")), ["v"], space=V6), ["v"], V6, reserved=False)
+    ip, kind = F.col("ip"), F.col("id") % 4
+    four = addr.ipv4_text(ip)
+    words = lambda n: F.concat_ws(":", *[F.lower(F.hex(F.shiftright(n, s).bitwiseAND(0xFFFF))) for s in (16, 0)])
+    text = F.when(kind == 0, four).when(kind == 1, F.concat(F.lit("2400:0:"), words(ip), F.lit("::"))).when(kind == 2, F.concat(F.lit("2400:2:0:1:"), words(ip), F.lit("::")))
+    text = text.otherwise(F.concat(F.lit("2002:"), words(ip), F.lit("::1")))
+    found = lookup.get(load(spark, sf_dir, "probe").select("id", text.alias("ip")), cover.select("lo", "plen", "v"))
+    return found.filter("v is not null").select("id", F.substring_index("network", "/", -1).cast("int").alias("bits"), "v")
+
+
 _RSV = "reserved(net, s_lo, s_plen) AS (VALUES " + ", ".join(
     f"('{n}', {sum(int(o) << s for o, s in zip(n.split('/')[0].split('.'), (24, 16, 8, 0)))}::BIGINT, {n.split('/')[1]})" for n in special.RESERVED_V4
 ) + ")"
@@ -234,8 +299,8 @@ _DOTTED = "((lo >> 24) & 255)::VARCHAR || '.' || ((lo >> 16) & 255)::VARCHAR ||
 
 @_register(
     f"""{_with("rsv")}, {_RSV} SELECT seq, lo, plen, net AS conflict,
-    'attempt to insert ' || {_DOTTED} || ' into ' || net || ', which is a reserved network' AS error
-    FROM rsv JOIN reserved ON lo >= s_lo AND lo + sz <= s_lo + (1::BIGINT << (32 - s_plen))"""
+    'attempt to insert ' || {_DOTTED} || ' into ' || net || ', which is a reserved network' AS error,
+    'reserved_network' AS error_class FROM rsv JOIN reserved ON lo >= s_lo AND lo + sz <= s_lo + (1::BIGINT << (32 - s_plen))"""
 )
 def j3_reserved_reject(spark: SparkSession, sf_dir: str) -> DataFrame:
     return special.reserved_rejects(load(spark, sf_dir, "rsv").select("seq", "lo", "plen"))
@@ -292,6 +357,40 @@ def g5_node_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.node_count(_total(spark, sf_dir))
 
 
+@_register(
+    f"""{_PLACED}, {_greedy("runs", "fam, v")}, net AS (
+      SELECT ({_WIDE_H.format("lo")})::HUGEINT * 18446744073709551616 + ({_WIDE_L.format("lo")})::HUGEINT AS adr, plen + CASE fam WHEN 0 THEN 96 WHEN 1 THEN 32 ELSE 64 END AS depth FROM pfx),
+    inner_nodes AS (SELECT DISTINCT CASE WHEN d < 2 THEN 0::HUGEINT ELSE adr - adr % (1::HUGEINT << (128 - greatest(d, 2))::INT) END AS adr, d FROM (SELECT adr, unnest(range(0, depth)) AS d FROM net))
+    SELECT count(*) AS node_count FROM inner_nodes"""
+)
+def g5_node_count_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inner nodes of a tree of both families without special networks."""
+    ranges = overlay.overlay(_placed(load(spark, sf_dir, "ins")), ["v"], space=V6)
+    return audit.node_count(special.tree_cover(ranges, ["v"], V6, reserved=False, aliases=False), V6)
+
+
+@_register(
+    f"""{_INS}, win AS (SELECT s.lo, s.hi, arg_max(l.v, l.seq) AS v, arg_max(l.seg, l.seq) AS w FROM (SELECT b AS lo, lead(b) OVER (ORDER BY b) AS hi FROM (SELECT lo AS b FROM ins UNION SELECT lo + sz FROM ins)) s
+      JOIN ins l ON l.lo <= s.lo AND s.hi <= l.lo + l.sz GROUP BY s.lo, s.hi)
+    SELECT count(DISTINCT (v, w)) + count(DISTINCT v) + count(DISTINCT w) AS live_values FROM win"""
+)
+def g6_live_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Different values that a layer holds: maps of a number and a text, and what is in them."""
+    log = load(spark, sf_dir, "ins").withColumn("val", F.struct("v", F.col("seg").alias("w")))
+    return audit.live_values(overlay.to_prefixes(overlay.overlay(log, ["val"])), "val")
+
+
+@_register(f"{_INS} SELECT seq, lo, plen, v, row_number() OVER (ORDER BY plen DESC, seq) AS place FROM ins")
+def t4_order_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Inserts in the order of most specific first: a range-partitioned sort, and places counted by length."""
+    log = load(spark, sf_dir, "ins").select("seq", "lo", "plen", "v")
+    counts = log.groupBy("plen").agg(F.count(F.lit(1)).alias("n"))
+    along = Window.partitionBy(F.lit(0)).orderBy(F.desc("plen")).rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("plen", F.coalesce(F.sum("n").over(along), F.lit(0)).alias("_before"))  # at most 33 rows
+    own = F.row_number().over(Window.partitionBy("plen").orderBy("seq"))
+    return log.withColumn("_own", own).join(F.broadcast(before), "plen").select("seq", "lo", "plen", "v", (F.col("_before") + F.col("_own")).alias("place"))
+
+
 @_register(f"{_NODES} SELECT lo, depth, row_number() OVER (ORDER BY lo, depth) - 1 AS node FROM nd")
 def t2_node_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.numbered_nodes(_total(spark, sf_dir))
@@ -301,12 +400,45 @@ def t2_node_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"""{_INS_REC}, {_RECORDS}, r AS (SELECT *, 1::BIGINT << (32 - plen) AS sz FROM pfx)
     SELECT 'misaligned' AS "check", count(*) FILTER (lo % sz <> 0) AS n FROM r
     UNION ALL SELECT 'overlap', count(*) FROM r a JOIN r b ON a.plen > b.plen AND a.lo >= b.lo AND a.lo < b.lo + b.sz
-    UNION ALL SELECT 'mergeable', count(*) FROM r a JOIN r b ON a.plen = b.plen AND a.v = b.v AND b.lo = a.lo + a.sz AND a.lo % (2 * a.sz) = 0"""
+    UNION ALL SELECT 'mergeable', count(*) FROM r a JOIN r b ON a.plen = b.plen AND a.v = b.v AND b.lo = a.lo + a.sz AND a.lo % (2 * a.sz) = 0
+    UNION ALL SELECT 'uncovered', count(*) FROM (SELECT lo, coalesce(max(lo + sz) OVER (ORDER BY lo ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM (SELECT lo, sz FROM r UNION ALL SELECT 4294967296, 0)) WHERE before < lo"""
 )
 def k1_disjoint_cover_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.violations(_records(spark, sf_dir), "v")
 
 
+@_register(
+    f"""{_INS_REC}, {_RECORDS}, used AS (SELECT sha256(v::VARCHAR) AS k, v, count(*) AS refs FROM pfx GROUP BY v)
+    SELECT 'orphan' AS "check", count(*) FILTER (v % 5 = 0) AS n FROM used
+    UNION ALL SELECT 'unused', 1 UNION ALL SELECT 'miscounted', count(*) FILTER (v % 5 <> 0 AND v % 7 = 1) FROM used"""
+)
+def k2_reference_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reference counts against a dictionary with entries missing, miscounted and left over."""
+    records = settle(_records(spark, sf_dir), "records")
+    keyed = records.select("lo", "plen", F.sha2(F.col("v").cast("string"), 256).alias("value_key"))
+    entries = audit.dictionary(records, "v").filter("v % 5 <> 0").select("value_key", F.when(F.col("v") % 7 == 1, F.col("refs") + 1).otherwise(F.col("refs")).alias("refs"))
+    extra = spark.range(1).select(F.lit("none").alias("value_key"), F.lit(1).cast("long").alias("refs"))
+    return audit.reference_audit(keyed, entries.unionByName(extra))
+
+
+_TEXT = "CASE seq % 4 WHEN 0 THEN '300.1.2.3/8' WHEN 1 THEN '2001:db8::/40' ELSE {0} END"
+
+
+@_register(
+    f"""{_with("rsv")}, {_RSV}, t AS (SELECT seq, lo, plen, sz, {_TEXT.format(_DOTTED)} AS network FROM rsv)
+    SELECT seq, network, CASE seq % 4 WHEN 0 THEN 'prefix is invalid' WHEN 1 THEN 'IPv6 prefixes cannot be inserted into an IPv4 tree'
+      ELSE 'attempt to insert ' || network || ' into ' || net || ', which is a reserved network' END AS error,
+      CASE WHEN seq % 4 < 2 THEN 'invalid_prefix' ELSE 'reserved_network' END AS error_class
+    FROM t LEFT JOIN reserved ON seq % 4 > 1 AND lo >= s_lo AND lo + sz <= s_lo + (1::BIGINT << (32 - s_plen)) WHERE seq % 4 < 2 OR net IS NOT NULL"""
+)
+def s9_csv_quarantine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of text whose networks can't be inserted, with the reason."""
+    kind = F.col("seq") % 4
+    text = F.when(kind == 0, "300.1.2.3/8").when(kind == 1, "2001:db8::/40").otherwise(addr.ipv4_prefix_text(F.col("lo"), F.col("plen")))
+    rows = load(spark, sf_dir, "rsv").select("seq", text.alias("network"))
+    return csvsource.insert_log(rows, V4)[1]
+
+
 @_register(
     """SELECT p_partkey::BIGINT AS id,
       CASE WHEN p_size < 1 THEN 'a0' ELSE 'a1' || lower(printf('%02x', p_size)) END AS u16_hex,
@@ -321,13 +453,18 @@ def s17_wire_encoding_hex(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@_register()
+@_register(f"""{_INS_REC}, {_RECORDS} SELECT {_DOTTED} AS network, '{{"v":' || v::VARCHAR || '}}' AS value FROM pfx""")
 def s10_file_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = _records(spark, sf_dir).select("lo", "plen", F.to_json(F.struct("v")).alias("value"))
     return treefile.roundtrip(records)
 
 
-@_register()
+@_register(
+    f"""{_INS_REC}, {_segments("ins")}, win AS (
+      SELECT s.lo, s.hi, '{{"_prefix_length":' || max(l.plen)::VARCHAR || ',"v":' || arg_max(l.v, l.plen::BIGINT * 1000000000 + l.seq)::VARCHAR || '}}' AS v
+      FROM seg s JOIN ins l ON l.lo <= s.lo AND s.hi <= l.lo + l.sz GROUP BY s.lo, s.hi), {_islands("win")}, {_greedy("runs", "v")}
+    SELECT {_DOTTED} AS network, v AS value FROM pfx"""
+)
 def f2_metadata_overlay(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = load(spark, sf_dir, "ins").select("seq", addr.ipv4_prefix_text(F.col("lo"), F.col("plen")).alias("network"), F.to_json(F.struct("v")).alias("value"))
     return interpret.metadata_overlay(log)

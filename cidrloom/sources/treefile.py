@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+import mmap
+import os
+import pickle
 import time
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from ..functions import wire
-from ..functions.addr import block_size, power_of_two, shown
+from ..functions.addr import shown
+from ..functions.space import IPV4_DEPTH, V4, V6, wide
 from ..operators.interpret import ALIAS, DATA, Layer
+from ..plans.tables import settle, shared_dir
 
 SEPARATOR = bytes(16)
 #: Three marker bytes and the name that readers of this format search for.
@@ -102,42 +111,97 @@ def layer_bytes(layer: Layer, options: Options) -> bytes:
     return bytes(out) + SEPARATOR + bytes(data.out) + MARKER + metadata_bytes(options, len(keys))
 
 
-def write_records(records: DataFrame, path: str, options: Options) -> int:
-    """Write IPv4 records (lo, plen, value as JSON) as one file; returns its size.
+def _filesystem(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    if uri.startswith("file:"):
+        return pyarrow.fs.LocalFileSystem(), "/" + uri[5:].lstrip("/")
+    return pyarrow.fs.FileSystem.from_uri(uri) if "://" in uri else (pyarrow.fs.LocalFileSystem(), uri)
 
-    Nodes, their numbers and their children are found by joins. Only the
-    distinct values, in the order of their first use, go through one place at a
-    time, as the format's back references require; node rows stream to the file
-    in order, a partition at a time.
+
+def _pack_nodes(folder: str, size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, at = _filesystem(folder)
+        name, first = f"{at}/nodes-{uuid.uuid4().hex}", None
+        with fs.open_output_stream(name) as out:
+            for b in batches:
+                for node, left, right in zip(*(b.column(c).to_pylist() for c in ("node", "s0", "s1"))):
+                    first = node if first is None else first
+                    out.write(pack_node(left, right, size))
+        if first is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([first]), pa.array([name])], ["first", "name"])
+
+    return run
+
+
+def write_records(records: DataFrame, path: str, options: Options, reserved: bool = False, aliases: bool = False) -> int:
+    """Write disjoint records as one file, at a path or URI that pyarrow knows; returns its size.
+
+    Records are (lo, plen) of either space, IPv4 ones going to ``::/96`` of a
+    tree of both families, and ``wire`` (encoded values) or ``value`` (JSON).
+    With ``reserved`` and ``aliases`` the tree holds those networks as well.
+
+    Nodes, their numbers and their children are found by joins, and tasks pack
+    the nodes into files of the shared folder, which the driver puts one behind
+    the other as a stream. Only the distinct values, in the order of their first
+    use, go through one place at a time, as the format's back references require.
     """
     from ..operators.audit import numbered_nodes
-    from ..operators.overlay import to_prefixes, total_cover
-
-    ranges = records.select("lo", (F.col("lo") + block_size(F.col("plen"))).alias("hi"), "value")
-    cover = to_prefixes(total_cover(ranges, ["value"])).select("lo", F.col("plen").alias("depth"), "value").persist()
-    nodes = numbered_nodes(cover.select("lo", F.col("depth").alias("plen"))).persist()
-    try:
-        half = power_of_two(F.lit(31) - F.col("depth"))
-        sides = nodes.select("node", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("lo").alias("lo")), F.struct(F.lit(1).alias("side"), (F.col("lo") + half).alias("lo")))).alias("c"), (F.col("depth") + 1).alias("depth"))
-        sides = sides.select("node", "c.side", "c.lo", "depth")
-        child = sides.join(nodes.withColumnRenamed("node", "child"), ["lo", "depth"], "left").join(cover, ["lo", "depth"], "left")
-        n = nodes.count()
-        section, place = wire.DataSection(), {}
-        first = child.filter("value is not null").groupBy("value").agg(F.min(F.col("node") * 2 + F.col("side")).alias("use")).orderBy("use")
+    from ..operators.special import tree_cover
+
+    spark = records.sparkSession
+    space = V4 if options.ip_version == 4 else V6
+    narrow = not isinstance(records.schema["lo"].dataType, StructType)
+    if space is V4 and not narrow:
+        raise ValueError("IPv6 records need a file of ip_version 6")
+    value = "wire" if "wire" in records.columns else "value"
+    lo, plen = F.col("lo"), F.col("plen")
+    if space is V6 and narrow:
+        lo, plen = wide(F.lit(0).cast("long"), lo), plen + IPV4_DEPTH
+    rows = records.select(lo.alias("lo"), plen.alias("plen"), F.col(value).alias("value"))
+    ranges = rows.select("lo", space.end(F.col("lo"), F.col("plen")).alias("hi"), "value")
+    cover = settle(tree_cover(ranges, ["value"], space, reserved, aliases).withColumnRenamed("plen", "depth"), "cover")
+    nodes = settle(numbered_nodes(cover.select("lo", F.col("depth").alias("plen")), space), "nodes")
+    n = nodes.count()
+    if n >= 1 << 32:
+        raise ValueError(f"node count of {n} exceeds the maximum allowed value")
+    below = F.col("depth") + 1
+    right = space.end(F.col("lo"), below)
+    sides = nodes.select("node", below.alias("depth"), F.posexplode(F.array("lo", right)).alias("side", "lo"))
+    child = sides.join(nodes.withColumnRenamed("node", "child"), ["lo", "depth"], "left").join(cover, ["lo", "depth"], "left")
+    child = settle(child.select("node", "side", "child", "kind", "value"), "children")
+    section, folder = wire.DataSection(), f"{shared_dir(spark)}/cidrloom-tree-{uuid.uuid4().hex}"
+    fs, at = _filesystem(folder)
+    fs.create_dir(at, recursive=True)
+    first = child.filter("value is not null").groupBy("value").agg(F.min(F.col("node") * 2 + F.col("side")).alias("use")).orderBy("use")
+    # sizes are bounded by the format: an offset has 32 bits
+    kind = pa.schema([("value", pa.binary() if value == "wire" else pa.string()), ("place", pa.int64())])
+    with pq.ParquetWriter(f"{at}/places.parquet", kind, filesystem=fs) as places:
+        held: list[tuple] = []
         for r in first.toLocalIterator():
-            place[r.value] = section.place(wire.from_text(r.value))
-        rows = child.groupBy("node").agg(*[F.max_by(F.struct("child", "value"), F.when(F.col("side") == s, 1)).alias(f"s{s}") for s in (0, 1)]).orderBy("node")
-        total = 0
-        with open(path, "wb") as f:
-            for r in rows.toLocalIterator():
-                pair = [c.child if c.child is not None else n if c.value is None else n + len(SEPARATOR) + place[c.value] for c in (r.s0, r.s1)]
-                total += f.write(pack_node(*pair, options.record_size))
-            for part in (SEPARATOR, bytes(section.out), MARKER, metadata_bytes(options, n)):
-                total += f.write(part)
-        return total
-    finally:
-        cover.unpersist()
-        nodes.unpersist()
+            v = r["value"]
+            held.append((v, section.place(wire.decode(bytes(v), 0)[0] if value == "wire" else wire.from_text(v))))
+            if len(held) == 1 << 16:
+                places.write_batch(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), kind.types)], schema=kind))
+                held = []
+        if held:
+            places.write_batch(pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held), kind.types)], schema=kind))
+    root4 = nodes.filter((F.col("lo") == space.literal(0)) & (F.col("depth") == IPV4_DEPTH)).select("node").first() if aliases and space is V6 else None
+    placed = child.join(spark.read.parquet(f"{folder}/places.parquet"), "value", "left")
+    number = F.coalesce("child", F.when(F.col("kind") == "alias", F.lit(root4.node if root4 else n)), F.col("place") + n + len(SEPARATOR), F.lit(n)).cast("long")
+    pairs = placed.groupBy("node").agg(*[F.max(F.when(F.col("side") == i, number)).alias(f"s{i}") for i in (0, 1)])
+    parts = pairs.repartitionByRange("node").sortWithinPartitions("node").mapInArrow(_pack_nodes(folder, options.record_size), "first long, name string")
+    total = 0
+    target, name = _filesystem(path)
+    with target.open_output_stream(name) as out:
+        for r in sorted(parts.collect(), key=lambda r: r["first"]):  # one row a task
+            with fs.open_input_stream(r["name"]) as part:
+                while piece := part.read(1 << 24):
+                    out.write(piece)
+                    total += len(piece)
+        for piece in (SEPARATOR, bytes(section.out), MARKER, metadata_bytes(options, n)):
+            out.write(piece)
+            total += len(piece)
+    fs.delete_dir(at)
+    return total
 
 
 class TreeFile:
@@ -173,21 +237,39 @@ class TreeFile:
             node = unpack_node(self.data, node * self.size // 4, self.size)[0]
         return node
 
-    def walk(self, depth: int = 0, part: int = 0, parts_bits: int = 0, aliased: bool = False) -> Iterator[tuple[int, int, wire.Value]]:
-        """(address, depth, value) in order; ``part`` of the first ``parts_bits`` bits only."""
+    def children(self, node: int) -> tuple[int, int]:
+        return unpack_node(self.data, node * self.size // 4, self.size)
+
+    def parts(self, most: int) -> list[tuple[int, int, int, int]]:
+        """(weight, node, address, depth) of subtrees in address order that together are the tree.
+
+        Numbers are in preorder, so a left subtree's weight is the distance to its sibling.
+        """
+        todo, done = [(self.nodes, 0, 0, 0)], []
+        while todo and len(todo) + len(done) < most:
+            todo.sort()
+            weight, node, a, d = todo.pop()
+            if node >= self.nodes or weight <= 1 or d >= self.bits:
+                done.append((weight, node, a, d))
+                continue
+            left, right = self.children(node)
+            mine = right - left if left < right < node + weight else weight - 1
+            mine = mine if left > node else 1  # an alias leads back
+            todo.append((max(1, mine), left, a, d + 1))
+            todo.append((max(1, weight - 1 - mine), right, a | 1 << (self.bits - d - 1), d + 1))
+        return sorted(done + todo, key=lambda p: p[2:])
+
+    def walk(self, aliased: bool = False, start: tuple[int, int, int] = (0, 0, 0)) -> Iterator[tuple[int, int, wire.Value]]:
+        """(address, depth, value) in order, from a node, its address and depth."""
         root4 = self.ipv4_root()
-        todo = [(0, 0, 0)]
+        todo = [start]
         while todo:
             node, a, d = todo.pop()
             if d > self.bits:
                 raise wire.WireError("the search tree is deeper than its addresses")
-            if 0 < d <= parts_bits and (a >> (self.bits - d)) != part >> (parts_bits - d):
-                continue
             if node == self.nodes:
                 continue
             if node > self.nodes:
-                if d < parts_bits and part & ((1 << (parts_bits - d)) - 1):
-                    continue  # a short record is read with the first part it covers
                 at = node - self.nodes - len(SEPARATOR)
                 if at not in self.memo:
                     self.memo[at] = wire.decode(self.data, self.base + at, self.base, self.memo)[0]
@@ -197,7 +279,7 @@ class TreeFile:
                 continue
             if d == self.bits:
                 raise wire.WireError("the search tree is deeper than its addresses")
-            left, right = unpack_node(self.data, node * self.size // 4, self.size)
+            left, right = self.children(node)
             todo.append((right, a | 1 << (self.bits - d - 1), d + 1))
             todo.append((left, a, d + 1))
 
@@ -220,40 +302,102 @@ def load_layer(path: str, reserved: bool = True, aliases: bool = True, fn=None)
 
 
 class _Part(InputPartition):
-    def __init__(self, path: str, part: int):
-        self.path, self.part = path, part
+    def __init__(self, start: tuple[int, int, int]):
+        self.start = start
 
 
 class _Reader(DataSourceReader):
-    BITS = 4
+    """Tasks map the file and touch the pages of their subtree and its values only."""
+
+    PARTS = 64
 
     def __init__(self, path: str, aliased: bool):
         self.path, self.aliased = path, aliased
 
+    def _open(self) -> TreeFile:
+        with open(self.path, "rb") as f:
+            return TreeFile(mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ))
+
     def partitions(self) -> list[InputPartition]:
-        return [_Part(self.path, i) for i in range(1 << self.BITS)]
+        return [_Part(p[1:]) for p in self._open().parts(self.PARTS)]
 
     def read(self, partition: _Part) -> Iterator[tuple]:
-        with open(partition.path, "rb") as f:
-            tree = TreeFile(f.read())
-        for a, d, value in tree.walk(part=partition.part, parts_bits=self.BITS, aliased=self.aliased):
+        tree = self._open()
+        for a, d, value in tree.walk(self.aliased, partition.start):
             raw = a.to_bytes(tree.bits // 8, "big") + bytes(16 - tree.bits // 8)
-            yield shown(raw, d, tree.bits), raw, d, wire.to_text(value)
+            yield shown(raw, d, tree.bits), raw, d, wire.to_text(value), wire.encode(value)
+
+
+@dataclass
+class _Written(WriterCommitMessage):
+    name: str
+
+
+class _Writer(DataSourceWriter):
+    """Tasks write their rows aside; the commit inserts them, shortest networks first, and writes the file.
+
+    For layers that fit the driver; ``write_records`` has no such limit.
+    """
+
+    def __init__(self, path: str, names: list[str], options: dict[str, str]):
+        self.path, self.names, self.options = path, names, options
+
+    def write(self, iterator: Iterator) -> _Written:
+        name = f"{self.path}.{uuid.uuid4().hex}.part"
+        with open(name, "wb") as f:
+            pickle.dump([tuple(r[c] for c in self.names) for r in iterator], f)
+        return _Written(name)
+
+    def commit(self, messages: list) -> None:
+        rows: list[tuple] = []
+        for m in messages:
+            with open(m.name, "rb") as f:
+                rows += pickle.load(f)
+        get = lambda k, d: self.options.get(k, d)
+        options = Options(int(get("build_epoch", "0")) or None, get("database_type", ""), ip_version=int(get("ip_version", "6")), record_size=int(get("record_size", "28")))
+        layer = Layer(32 if options.ip_version == 4 else 128, get("reserved", "true") == "true", get("aliases", "true") == "true")
+        for network, value in sorted(rows, key=lambda r: int(r[0].rpartition("/")[2])):
+            layer.insert(network, wire.decode(bytes(value), 0)[0] if isinstance(value, (bytes, bytearray)) else wire.from_text(value))
+        temp = f"{self.path}.{uuid.uuid4().hex}"
+        with open(temp, "wb") as f:
+            f.write(layer_bytes(layer, options))
+        os.replace(temp, self.path)
+        self._clear(messages)
+
+    def abort(self, messages: list) -> None:
+        self._clear(messages)
+
+    def _clear(self, messages: list) -> None:
+        for m in messages:
+            if m is not None and os.path.exists(m.name):
+                os.remove(m.name)
 
 
 class TreeFileSource(DataSource):
-    """``spark.read.format("prefix_tree").load(path)``: (network, addr, depth, value as JSON)."""
+    """Format ``prefix_tree``.
+
+    Reading a path gives (network, addr, depth, value as JSON, wire: the encoded
+    value). Writing takes (network, wire) or (network, value) rows and the
+    options build_epoch, database_type, ip_version, record_size, reserved and
+    aliases. The path is one that the driver and the executors share.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "prefix_tree"
 
     def schema(self) -> str:
-        return "network string, addr binary, depth int, value string"
+        return "network string, addr binary, depth int, value string, wire binary"
 
     def reader(self, schema: StructType) -> DataSourceReader:
         return _Reader(self.options["path"], self.options.get("include_aliased", "false") == "true")
 
+    def writer(self, schema: StructType, overwrite: bool) -> DataSourceWriter:
+        path = self.options["path"]
+        if not overwrite and os.path.exists(path):
+            raise ValueError(f"{path} is there already")
+        return _Writer(path, ["network", "wire" if "wire" in schema.names else "value"], dict(self.options))
+
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(TreeFileSource)
@@ -265,15 +409,8 @@ def read_tree(spark: SparkSession, path: str, include_aliased: bool = False) ->
 
 
 def roundtrip(records: DataFrame) -> DataFrame:
-    """Write records to a temporary file on the driver and read it back on it: (network, value)."""
-    import os
-    import tempfile
-
+    """Write records to a file of the shared folder and read it back: (network, value)."""
     spark = records.sparkSession
-    with tempfile.TemporaryDirectory() as folder:
-        path = os.path.join(folder, "layer.tree")
-        write_records(records, path, Options(build_epoch=0, ip_version=4))
-        with open(path, "rb") as f:
-            tree = TreeFile(f.read())
-    rows = [(shown(a.to_bytes(4, "big") + bytes(12), d, 32), wire.to_text(v)) for a, d, v in tree.walk()]
-    return spark.createDataFrame(rows, "network string, value string")
+    path = f"{shared_dir(spark)}/cidrloom-{uuid.uuid4().hex}.tree"
+    write_records(records, path, Options(build_epoch=0, ip_version=4))
+    return read_tree(spark, _filesystem(path)[1]).select("network", "value")

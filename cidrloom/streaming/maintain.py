@@ -42,6 +42,7 @@ def read_layer(spark: SparkSession, layer_path: str) -> DataFrame:
 def maintain(inserts: DataFrame, log_path: str, layer_path: str, values: Sequence[str], checkpoint: str, how: str = "replace") -> StreamingQuery:
     """Append a stream (seq, lo, plen, values) to the log and rebuild the shards it touches.
 
+    The log is partitioned by shard, so a rebuild reads the shards it replaces.
     A batch that is repeated after a failure appends under its own batch id
     again, overwriting what it wrote, so every insert counts once.
     """
@@ -49,7 +50,7 @@ def maintain(inserts: DataFrame, log_path: str, layer_path: str, values: Sequenc
     def batch(df: DataFrame, batch_id: int) -> None:
         spark = df.sparkSession
         rows = _shards(df).withColumn("batch", F.lit(batch_id)).persist()
-        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(log_path)
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard", "batch").parquet(log_path)
         shards = [r.shard for r in rows.select("shard").distinct().collect()]  # at most 256
         rows.unpersist()
         if shards:

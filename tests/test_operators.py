@@ -5,9 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from cidrloom.functions import addr, merge
+from cidrloom.functions import addr, merge, wire
+from cidrloom.functions.space import V6
 from cidrloom.operators import audit, cidr, interpret, lookup, overlay, special
-from cidrloom.sources import csvsource
+from cidrloom.sources import csvsource, treefile
 from cidrloom.streaming import maintain
 
 
@@ -171,3 +172,130 @@ def test_stream(spark, tmp_path):
     have = overlay.coalesce_ranges(maintain.read_layer(spark, layer).select("lo", "hi", "v"), ["v"])
     want = overlay.overlay(spark.createDataFrame(rows, schema), ["v"])
     assert sorted(map(tuple, have.select("lo", "hi", "v").collect())) == sorted(map(tuple, want.select("lo", "hi", "v").collect()))
+
+
+def wide_log(spark, rows):
+    """(seq, lo, plen, v) in the space of both families of (network, value) rows."""
+    df = spark.createDataFrame([(i, n, v) for i, (n, v) in enumerate(rows)], "seq long, network string, v int")
+    return df.select("seq", addr.wide_prefix(F.col("network")).alias("p"), "v").select("seq", "p.lo", "p.plen", "v")
+
+
+def random_networks(seed, n=80):
+    rng = random.Random(seed)
+    out = []
+    for _ in range(n):
+        kind, v = rng.randrange(4), rng.choice([None, 1, 2, 3])
+        if kind == 0:
+            out.append((f"{rng.choice([1, 9, 200])}.{rng.randrange(4)}.{rng.randrange(4)}.0/{rng.choice([8, 20, 24, 30])}", v))
+        else:
+            out.append((f"{rng.choice(['2400', '2c0f', '8000', '64'])}:{rng.randrange(4):x}::{rng.randrange(4):x}:0:0:{rng.randrange(6):x}/{rng.choice([3, 16, 31, 33, 64, 65, 80, 127, 128])}", v))
+    return out
+
+
+@pytest.mark.parametrize("aliases", [True, False])
+def test_both_families_are_the_sequential_fold(spark, aliases):
+    """Records, node numbers and lookups of a tree of both families with special networks."""
+    layer, rows = interpret.Layer(128, True, aliases), []
+    for network, v in random_networks(5 + aliases):
+        try:
+            layer.insert(network, None if v is None else ("uint32", v))
+            rows.append((network, v))
+        except ValueError:
+            continue
+    ranges = overlay.overlay(wide_log(spark, rows), ["v"], space=V6)
+    cover = special.tree_cover(ranges, ["v"], V6, True, aliases).cache()
+    want = [(a, r.depth, r.kind, None if r.value is None else r.value[1]) for a, r in layer.records()]
+    number = lambda x: ((x.h + (1 << 63)) << 64) + x.l + (1 << 63)
+    assert sorted(((number(r.lo), r.plen, r.kind, r.v) for r in cover.collect()), key=repr) == sorted(want, key=repr)
+    assert [(r.node, number(r.lo), r.depth) for r in audit.numbered_nodes(cover, V6).orderBy("node").collect()] == [(i, *k) for i, k in enumerate(layer.node_keys())]
+    probes = ["1.1.1.1", "::1.1.1.1", "::ffff:9.0.1.0", "2002:901:100::5", "2001:0:901:100::", "2400:1::", "10.0.0.1", "nonsense", "8000:3::2:0:0:1", "2c0f::"]
+    got = lookup.get(spark.createDataFrame([(p,) for p in probes], "ip string"), cover.select("lo", "plen", "v"), aliases=aliases)
+    seen = {r.ip: (r.network, r.v) for r in got.collect()}
+    assert seen == {p: (n, None if v is None else v[1]) for p in probes for n, v in [layer.get(p)]}
+    cover.unpersist()
+
+
+@pytest.mark.parametrize("rows, reserved, aliases, nodes", [([("::/1", 1)], False, True, 142), ([("1.0.0.0/8", 1)], False, False, 104), ([("1.1.1.1/32", 1)], True, True, 375)])
+def test_node_counts_of_both_families(spark, rows, reserved, aliases, nodes):
+    layer = interpret.Layer(128, reserved, aliases)
+    for network, v in rows:
+        layer.insert(network, ("uint32", v))
+    cover = special.tree_cover(overlay.overlay(wide_log(spark, rows), ["v"], space=V6), ["v"], V6, reserved, aliases)
+    assert audit.node_count(cover, V6).first().node_count == len(layer.node_keys()) == nodes
+
+
+def test_special_networks_reject_in_both_families(spark):
+    nets = ["10.1.0.0/16", "2001:db8::/40", "2002:102::/48", "::ffff:0:0/96", "2001::/33", "1.0.0.0/8", "2400::/12", "240.0.0.1/32", "bad", "fe80::/9"]
+    rows = spark.createDataFrame([(n,) for n in nets], "network string")
+    log, bad = csvsource.insert_log(rows, V6)
+    layer, errors = interpret.Layer(128), {}
+    for n in nets:
+        try:
+            layer.insert(n, ("uint32", 1))
+        except ValueError as e:
+            errors[n] = str(e)
+    assert {r.network: r.error for r in bad.collect()} == errors
+    assert {r.network for r in log.collect()} == set(nets) - set(errors)
+    kinds = {r.network: r.error_class for r in bad.collect()}
+    assert kinds["2002:102::/48"] == "aliased_network" and kinds["10.1.0.0/16"] == "reserved_network" and kinds["bad"] == "invalid_prefix"
+
+
+def test_values_are_equal_where_their_wire_is(spark):
+    log = spark.createDataFrame([(1, 0, 8, 0.0), (2, 1 << 24, 8, -0.0), (3, 2 << 24, 8, -0.0)], "seq long, lo long, plen int, v double")
+    got = sorted((r.lo, r.hi) for r in overlay.overlay(log, ["v"]).collect())
+    assert got == [(0, 1 << 24), (1 << 24, 3 << 24)]
+    log = spark.createDataFrame([(1, 0, 8, {"a": 1, "b": 2}), (2, 1 << 24, 8, {"b": 2, "a": 1}), (3, 0, 9, {"c": 5})], "seq long, lo long, plen int, v map<string,int>")
+    assert [(r.lo, r.hi, r.v) for r in overlay.overlay(log, ["v"]).orderBy("lo").collect()] == [(0, 1 << 23, {"c": 5}), (1 << 23, 2 << 24, {"a": 1, "b": 2})]
+    deep = overlay.overlay(log, ["v"], "deep").orderBy("lo").collect()
+    assert [r.v for r in deep] == [{"a": 1, "b": 2, "c": 5}, {"a": 1, "b": 2}]
+
+
+def test_csv_with_any_header(spark, tmp_path):
+    path = tmp_path / "asn.csv"
+    path.write_text('network,autonomous_system_number,autonomous_system_organization\n1.0.0.0/24,13335,"A, B"\n2.0.0.0/8,0,\n')
+    assert sorted(map(tuple, csvsource.read_asn_csv(spark, str(path)).collect())) == [("1.0.0.0/24", 13335, "A, B"), ("2.0.0.0/8", None, None)]
+    path.write_text("network,asn\n1.0.0.0/24,5\n")
+    with pytest.raises(ValueError, match="3 columns"):
+        csvsource.read_asn_csv(spark, str(path))
+
+
+def test_records_in_a_file_of_both_families(spark, tmp_path):
+    """What is read from a file and written again is the same file, byte for byte; the sink writes it too."""
+    layer = interpret.Layer(128)
+    values = [("map", {"x": ("uint16", 7), "y": ("slice", [("double", -0.0), ("bytes", b"\x00\xff")])}), ("uint32", 5)]
+    for i, n in enumerate(["1.0.0.0/24", "1.0.1.0/24", "2400::/12", "2c0f:1::/33", "9.9.9.9/32"]):
+        layer.insert(n, values[i % 2])
+    options = treefile.Options(1, "t", {"en": "d"}, ["en"], 6, 28)
+    raw, path, again = treefile.layer_bytes(layer, options), str(tmp_path / "a.tree"), str(tmp_path / "b.tree")
+    (tmp_path / "a.tree").write_bytes(raw)
+    read = treefile.read_tree(spark, path)
+    records = read.select("network", "wire").select(addr.wide_prefix(F.col("network")).alias("p"), "wire").select("p.lo", "p.plen", "wire")
+    assert treefile.write_records(records, again, options, reserved=True, aliases=True) == len(raw)
+    assert (tmp_path / "b.tree").read_bytes() == raw
+    sink = str(tmp_path / "c.tree")
+    read.select("network", "wire").write.format("prefix_tree").mode("overwrite").option("database_type", "t").option("build_epoch", "1").save(sink)
+    assert sorted(map(tuple, treefile.read_tree(spark, sink).select("network", "wire").collect())) == sorted(map(tuple, read.select("network", "wire").collect()))
+    narrow = spark.createDataFrame([(1 << 24, 24, '{"v":1}')], "lo long, plen int, value string")
+    treefile.write_records(narrow, again, treefile.Options(1))
+    assert [tuple(r)[0] for r in treefile.read_tree(spark, again).select("network").collect()] == ["1.0.0.0/24"]
+    with pytest.raises(ValueError, match="ip_version 6"):
+        treefile.write_records(records, again, treefile.Options(1, ip_version=4))
+
+
+def test_lookup_splits_hot_shards(spark, monkeypatch):
+    records = spark.createDataFrame([(1 << 24, 8, 1), (5 << 24, 32, 2)], "lo long, plen int, v int")
+    probes = spark.createDataFrame([(i, (1 << 24) + i % 3) for i in range(50)] + [(99, None), (98, 5 << 24), (97, 0)], "id int, ip long")
+    whole = sorted(map(tuple, lookup.lookup(probes, records, how="left").collect()), key=repr)
+    monkeypatch.setattr(lookup, "HOT_PROBES", 8)
+    assert sorted(map(tuple, lookup.lookup(probes, records, how="left").collect()), key=repr) == whole
+    assert [w for w in whole if w[0] > 90] == [(97, 0, None, None, None), (98, 5 << 24, 5 << 24, 32, 2), (99, None, None, None, None)]
+
+
+def test_audits(spark):
+    records = spark.createDataFrame([(0, 1, "a"), (1 << 31, 2, "b"), (3 << 30, 2, "b")], "lo long, plen int, v string")
+    assert {r.check: r.n for r in audit.violations(records, "v").collect()} == {"misaligned": 0, "overlap": 0, "mergeable": 1, "uncovered": 0}
+    part = records.filter("v = 'b' and lo = 2147483648")
+    assert {r.check: r.n for r in audit.violations(part, "v").collect()}["uncovered"] == 2
+    values = audit.dictionary(records, "v").select("value_key", F.when(F.col("v") == "b", 5).otherwise(F.col("refs")).alias("refs"))
+    keyed = records.select(F.sha2("v", 256).alias("value_key")).unionByName(spark.createDataFrame([("x",)], "value_key string"))
+    assert {r.check: r.n for r in audit.reference_audit(keyed, values).collect()} == {"orphan": 1, "unused": 0, "miscounted": 1}
