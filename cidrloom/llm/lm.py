@@ -202,11 +202,16 @@ def _step(u: np.ndarray, h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.n
     return out, hu[2 * n :]
 
 
+def _places(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Flat index of column ``at`` of each row."""
+    return np.arange(0, table.size, table.shape[1]) + at
+
+
 def _log_softmax_at(logits: np.ndarray, at: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray]:
     """(log-probability of column ``at``, sum) of each row; ``logits`` become the exponentials that sum to it."""
     if not safe:
         logits -= logits.max(1, keepdims=True)
-    mine = logits[np.arange(len(at)), at]
+    mine = logits.ravel()[_places(logits, at)]
     np.exp(logits, logits)
     total = logits @ _ones(logits.shape[1], logits.dtype)
     return mine - np.log(total), total
@@ -223,7 +228,7 @@ def _output(par: dict, h: np.ndarray, y: np.ndarray, grad: dict | None = None) -
     logp, dh = np.empty(len(y), h.dtype), None if grad is None else np.empty_like(h)
 
     def descend(p: np.ndarray, total: np.ndarray, at: np.ndarray, rows: np.ndarray, weight: np.ndarray, bias: np.ndarray) -> np.ndarray:
-        p[np.arange(len(at)), at] -= total
+        p.ravel()[_places(p, at)] -= total
         each = 1 / total
         weight += (rows * each[:, None]).T @ p
         bias += each @ p
@@ -324,12 +329,12 @@ def train(par: dict, ids: np.ndarray, bounds: np.ndarray, epochs: int = 3, lanes
             hi = min(lo + WINDOW, len(y))
             for k in ("wc", "bc", "ww", "bw", "u", "x"):
                 grad[k].fill(0)
-            gates, keep = _gates(par, x[lo:hi]), (~fresh[lo:hi]).astype(h.dtype)
-            states, was, added, u = np.empty((hi - lo, *h.shape), h.dtype), [], [], np.ascontiguousarray(par["u"].T)
+            gates, keep, anew = _gates(par, x[lo:hi]), (~fresh[lo:hi]).astype(h.dtype), fresh[lo:hi].any(1)
+            states, was, added = (np.empty((hi - lo, *h.shape), h.dtype) for _ in range(3))
+            u = np.ascontiguousarray(par["u"].T)
             for s in range(hi - lo):
-                was.append(h * keep[s])
-                states[s], hu = _step(u, was[s], gates[s])
-                added.append(hu)
+                np.multiply(h, keep[s], out=was[s])
+                states[s], added[s] = _step(u, was[s], gates[s])
                 h = states[s]
             mask = (doc[lo:hi] >= 0).ravel()
             flat = np.ascontiguousarray(states.transpose(0, 2, 1)).reshape(-1, hidden)
@@ -344,29 +349,35 @@ def train(par: dict, ids: np.ndarray, bounds: np.ndarray, epochs: int = 3, lanes
                 grad[k] /= n
             dout /= n
             dout = np.ascontiguousarray(dout.reshape(hi - lo, -1, hidden).transpose(0, 2, 1))
-            dh, dhu = np.zeros_like(h), np.empty((3 * hidden, h.shape[1]), h.dtype)
+            # what a state's gradient is multiplied by to get that of each gate's input, for the whole window
+            z, r, new = (gates[:, k * hidden : (k + 1) * hidden] for k in range(3))
+            pull = np.empty_like(gates)
+            grow = np.multiply(new, new)
+            np.subtract(1, grow, out=grow)
+            grow *= 1 - z
+            through = grow * r
+            np.multiply(through, added, out=pull[:, hidden : 2 * hidden])
+            pull[:, hidden : 2 * hidden] *= 1 - r
+            np.subtract(was, new, out=pull[:, :hidden])
+            pull[:, :hidden] *= z
+            pull[:, :hidden] *= 1 - z
+            pull[:, 2 * hidden :] = through
+            dh, by_gate = np.zeros_like(h), pull.reshape(hi - lo, 3, hidden, -1)
             for s in reversed(range(hi - lo)):
-                g = gates[s]  # becomes the gradient of the gates' input
-                z, r, new = g[:hidden], g[hidden : 2 * hidden], g[2 * hidden :]
                 d = dout[s]
                 d += dh
-                dz = d * z
-                da = (d - dz) * (1 - new * new)
-                dar = da * r
-                np.multiply(dar * added[s], 1 - r, out=dhu[hidden : 2 * hidden])
-                np.multiply(dz * (was[s] - new), 1 - z, out=dhu[:hidden])
-                dhu[2 * hidden :] = dar
-                g[: 2 * hidden] = dhu[: 2 * hidden]
-                g[2 * hidden :] = da
-                grad["u"] += was[s] @ dhu.T
-                dh = par["u"] @ dhu
-                dh += dz
-                dh *= keep[s]
+                by_gate[s] *= d
+                dh = par["u"] @ pull[s]
+                dh += d * z[s]
+                if anew[s]:
+                    dh *= keep[s]
+            grad["u"] += np.matmul(was, pull.transpose(0, 2, 1)).sum(0)
+            np.multiply(dout, grow, out=pull[:, 2 * hidden :])
             words = x[lo:hi].ravel()
             order = np.argsort(words.astype(np.uint16) if start < 1 << 16 else words, kind="stable")
             words = words[order]
             cut = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
-            rows = np.ascontiguousarray(gates.transpose(0, 2, 1)).reshape(-1, 3 * hidden)
+            rows = np.ascontiguousarray(pull.transpose(0, 2, 1)).reshape(-1, 3 * hidden)
             grad["x"][words[cut]] = np.add.reduceat(rows[order], cut)
             done += 1
             moments["t"] += 1
