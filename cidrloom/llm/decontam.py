@@ -11,11 +11,13 @@ Candidates are confirmed by exact containment of their shingles as words.
 
 Scale: one pass over the documents without a shuffle for each block of items; a
 block holds at most ``BLOCK_ITEMS`` items or ``BLOCK_CHARS`` characters (a
-longer item alone), so what is broadcast is bounded.
+longer item alone), so what is broadcast is bounded; ``CHAIN`` blocks at a time
+go over the texts.
 """
 
 from __future__ import annotations
 
+import functools
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -27,10 +29,12 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from .neardup import doc_shingles, shingle_set
 from .textwords import mix64, shingle_hashes, split_words, text_column
-from .workspace import bounded_batches
+from .workspace import bounded_batches, stash
 
 BLOCK_ITEMS = 20_000
 BLOCK_CHARS = 16_000_000
+#: Blocks of items that a task has in Python at once.
+CHAIN = 4
 FOUND = ArrayType(StructType([StructField("item_id", LongType()), StructField("n_shared", LongType()), StructField("n_item", LongType())]))
 _FOUND_ARROW = pa.list_(pa.struct([("item_id", pa.int64()), ("n_shared", pa.int64()), ("n_item", pa.int64())]))
 
@@ -154,25 +158,46 @@ def mark_contaminated(docs: DataFrame, items: DataFrame, k: int = 5, percent: in
     items = items.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n, chars, longest = items.agg(F.count(F.lit(1)), F.sum(F.length("text")), F.max(F.length("text"))).first()
     blocks = max(1, -(-n // BLOCK_ITEMS), -(-(chars or 0) // BLOCK_CHARS))
-    kept = [c for c in docs.columns if c != column]
-    out = docs.select(*[F.col(f"`{c}`") for c in kept])
-    schema = StructType([*out.schema.fields, StructField(column, FOUND)])
-    for i in range(blocks):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i).collect()
-        index = ItemIndex([(r.item_id, r.text) for r in rows], k, percent)
-        out = out.mapInArrow(_mark(spark.sparkContext.broadcast(index), column), schema)
-    return out
+    kept = [c for c in docs.columns if c.lower() != column.lower()]
+    docs = docs.select(*[F.col(f"`{c}`") for c in kept])
+
+    def chain(out: DataFrame, which: range) -> DataFrame:
+        schema = StructType([*out.schema.fields, StructField(column, FOUND)])
+        for i in which:
+            rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == i).collect()
+            index = ItemIndex([(r.item_id, r.text) for r in rows], k, percent)
+            out = out.mapInArrow(_mark(spark.sparkContext.broadcast(index), column), schema)
+        return out
+
+    if blocks <= CHAIN:
+        return chain(docs, range(blocks))
+    # Many blocks: texts go through a few at a time, and what was found is written in between.
+    numbered = stash(docs.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("at")), "numbered")
+    texts, parts = numbered.select("at", F.col("row.text").alias("text")), []
+    for lo in range(0, blocks, CHAIN):
+        found = chain(texts, range(lo, min(lo + CHAIN, blocks))).filter(F.size(f"`{column}`") > 0)
+        parts.append(stash(found.select("at", F.col(f"`{column}`").alias("found")), "found"))
+    every = functools.reduce(DataFrame.unionByName, parts).groupBy("at").agg(F.flatten(F.collect_list("found")).alias("found"))
+    whole = numbered.join(every, "at", "left")
+    return whole.select("row.*", F.coalesce("found", F.array().cast(FOUND)).alias(column))
 
 
 def contained_items(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, item_id, n_shared, n_item): one row for each item in each document."""
+    """(doc_id, item_id, n_shared, n_item): one row for each item in each document; see ``mark_contaminated``."""
     marked = mark_contaminated(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), items, k, percent)
     return marked.select("doc_id", F.explode("found_items").alias("x")).select("doc_id", "x.item_id", "x.n_shared", "x.n_item")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that contain no item."""
-    return mark_contaminated(docs, items, k, percent, "_found_items").filter(F.size("_found_items") == 0).drop("_found_items")
+    """The documents that contain no item, with all their columns.
+
+    Rows and items are taken as in ``mark_contaminated``: a null or empty text
+    stays, repeated rows are judged each for itself, and with no items all stay.
+    """
+    name = "_found"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return mark_contaminated(docs, items, k, percent, name).filter(F.size(name) == 0).drop(name)
 
 
 ORACLE = r"""

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .workspace import stash
@@ -24,11 +24,19 @@ from .workspace import stash
 #: A source's table holds about 60 doubles at usual rates: 5 MB in all.
 MAX_BROADCAST_SOURCES = 10_000
 SALTS = 64
+#: A larger rate is the sum of so many equal ones as keep each within it: tables stay short.
+MAX_RATE = 256
+#: Copies of a document that one array holds.
+RUN = 1 << 16
 SEED = "mix-1"
 
 
 def source_rates(docs: DataFrame, weights: Mapping[str, float] | None, temperature: float, size: float) -> DataFrame:
-    """(source, n, rate): the mean number of copies of a document of each source."""
+    """(source, n, rate): the mean number of copies of a document of each source.
+
+    A null source is one of its own; a source without weight, and every source
+    if all weights are 0, has rate 0; an empty table has no sources.
+    """
     n = docs.groupBy(F.col("source").alias("source")).agg(F.count(F.lit(1)).alias("n"))
     if weights is None:
         weighted = n.withColumn("w", F.pow(F.col("n").cast("double"), F.lit(float(temperature))))
@@ -45,7 +53,9 @@ def source_rates(docs: DataFrame, weights: Mapping[str, float] | None, temperatu
 
 
 def with_cdf(rates: DataFrame) -> DataFrame:
-    """Add P(count <= 0), P(count <= 1), ... until the tail is below 1e-16."""
+    """Add cdf: P(count <= 0), P(count <= 1), ... until the tail is below 1e-16, of a ``parts``-th of the rate."""
+    rates = rates.withColumn("parts", F.greatest(F.ceil(F.col("rate") / MAX_RATE), F.lit(1)).cast("int"))
+    rates = rates.withColumn("rate", F.col("rate") / F.col("parts"))
     return rates.withColumn(
         "cdf",
         F.expr(
@@ -78,29 +88,33 @@ def mix_sources(
     null doc_id hashes as the text ``null``; repeated rows get equal counts; an
     empty table gives an empty one; texts are carried whatever they hold.
     """
-    kept = [c for c in docs.columns if c not in ("mix_copy", "mix_key")]
-    docs = docs.select(*[F.col(f"`{c}`") for c in kept])
-    rates = stash(with_cdf(source_rates(docs, weights, temperature, size)), "mix-rates").select(
-        F.col("source").alias("mix_source"), F.col("cdf").alias("mix_cdf")
-    )
-    same = F.col("source").eqNullSafe(F.col("mix_source"))
+    kept = [c for c in docs.columns if c.lower() not in ("mix_copy", "mix_key")]
+    # the caller's columns travel as one, so no name can clash with those used here
+    docs = docs.select(F.struct(*[F.col(f"`{c}`") for c in kept]).alias("row"))
+    rates = source_rates(docs.select("row.source"), weights, temperature, size)
+    rates = stash(with_cdf(rates), "mix-rates").select("source", "cdf", "parts")
+    same = F.col("row.source").eqNullSafe(F.col("source"))
     if rates.limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES:
         joined = docs.join(F.broadcast(rates), same)
     else:
-        salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))
-        spread = rates.withColumn("mix_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-        joined = docs.withColumn("mix_salt_of", salt).join(spread, same & (F.col("mix_salt_of") == F.col("mix_salt")))
-    doc = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
-    u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), doc)), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(2.0**52)
-    copies = (
-        joined.filter(F.col("mix_cdf").isNotNull())
-        .withColumn("mix_u", u)
-        .withColumn("mix_n", F.size(F.filter("mix_cdf", lambda c: c < F.col("mix_u"))))
-        .filter("mix_n > 0")
-        .select(*[F.col(f"`{c}`") for c in kept], F.explode(F.sequence(F.lit(1), F.col("mix_n"))).alias("mix_copy"))
-        .withColumn("mix_key", F.md5(F.concat(F.lit(f"{seed}#"), doc, F.lit("#"), F.col("mix_copy").cast("string"))))
-    )
-    return copies.orderBy("mix_key", "doc_id", "mix_copy")
+        salt = F.pmod(F.xxhash64("row.doc_id"), F.lit(SALTS))
+        spread = rates.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+        joined = docs.withColumn("salt_of", salt).join(spread, same & (F.col("salt_of") == F.col("salt")))
+    doc = F.coalesce(F.col("row.doc_id").cast("string"), F.lit("null"))
+
+    def drawn(text: Column) -> Column:
+        """Poisson count at the uniform number that ``text`` hashes to."""
+        u = (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(2.0**52)
+        return F.size(F.filter(F.col("cdf"), lambda c: c < u)).cast("long")
+
+    first = F.concat(F.lit(f"{seed}:"), doc)
+    more = F.aggregate(F.sequence(F.lit(1), F.col("parts") - 1), F.lit(0).cast("long"), lambda n, j: n + drawn(F.concat(first, F.lit(":"), j.cast("string"))))
+    counted = joined.filter(F.col("cdf").isNotNull()).select("row", doc.alias("doc"), (drawn(first) + F.when(F.col("parts") > 1, more).otherwise(0)).alias("n")).filter("n > 0")
+    # in two steps, so that no array holds all copies of a document
+    runs = counted.select("row", "doc", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(RUN).cast("long"))).alias("lo"))
+    copies = runs.select("row", "doc", F.explode(F.sequence((F.col("lo") + 1).cast("int"), F.least(F.col("lo") + RUN, F.col("n")).cast("int"))).alias("mix_copy"))
+    copies = copies.withColumn("mix_key", F.md5(F.concat(F.lit(f"{seed}#"), "doc", F.lit("#"), F.col("mix_copy").cast("string"))))
+    return copies.orderBy("mix_key", "row.doc_id", "mix_copy").select("row.*", "mix_copy", "mix_key")
 
 
 ORACLE = """

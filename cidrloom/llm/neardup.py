@@ -255,8 +255,8 @@ def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> Data
 
     All rows of a kept doc_id stay, and so do rows without one.
     """
-    gone = near_duplicates(docs, k, percent).filter("not kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone.distinct(), docs["doc_id"].cast("long") == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs, k, percent).filter("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")
 
 
 ORACLE = r"""

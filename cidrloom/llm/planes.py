@@ -397,7 +397,11 @@ def _read_shards(uri: str):
 
 
 def read_ids(spark, uri: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids_crc32) of every document in the shards' files."""
+    """(doc_id, start, n_tokens, ids_crc32) of every document in the shards' files.
+
+    One row for each row that was written, with its id, null or repeated; files
+    without documents give none.
+    """
     fs, folder = filesystem(uri)
     with fs.open_input_stream(f"{folder}/manifest.json") as f:
         manifest = json.loads(f.read())
@@ -407,7 +411,10 @@ def read_ids(spark, uri: str) -> DataFrame:
 
 
 def encode_documents(docs: DataFrame, tokenizer: str, mode: str = "byte", ordered: bool = True) -> DataFrame:
-    """Write ``docs`` as token ids to the shared folder and return what its files hold."""
+    """Write ``docs`` as token ids to the shared folder and return what its files hold.
+
+    Null and empty texts, null and repeated ids and empty tables: see ``write_ids``.
+    """
     spark = docs.sparkSession
     uri = new_folder(spark, "ids")
     write_ids(docs, uri, tokenizer, mode, ordered=ordered)

@@ -172,7 +172,9 @@ def top_k(vectors: DataFrame, k: int = 20, query_every: int = 20, lead: int | No
     ordered = spark.read.schema("vec_id long, q binary, norm double, row long").parquet(uri)
     queries = ordered.filter(F.col("vec_id") % query_every == 0)
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    return queries.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks))).groupBy("block").applyInPandas(
+    # a set number of partitions, or small blocks would be put together into one task
+    placed = queries.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks))).repartition(2 * blocks, "block")
+    return placed.groupBy("block").applyInPandas(
         _search(uri, dim, rotation, lead or max(1, dim // 4), k), "query_id long, rank int, vec_id long, score long"
     )
 

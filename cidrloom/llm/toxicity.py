@@ -162,7 +162,14 @@ def select_terms(rows: DataFrame) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, fold: int = 5) -> Model:
-    """Fit on labelled documents whose crc32(doc_id) mod ``fold`` is not 0."""
+    """Fit on labelled documents whose crc32(doc_id) mod ``fold`` is not 0.
+
+    Labels other than 0 and 1 and null ids are passed over; of several labels of
+    one id the toxic one counts; all rows of a chosen id are learned from, a
+    null text as an empty one; without a label of either kind, or documents for
+    them, the model holds a bias alone. At most MAX_PER_CLASS ids of each label
+    are used, chosen by the hash of the id. Other columns are not looked at.
+    """
     spark = docs.sparkSession
     bounded_batches(spark)
     named = (
@@ -218,7 +225,12 @@ def score_toxicity(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, fold: int = 5) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every document."""
+    """(doc_id, held_out, score, predicted) of every document.
+
+    One row a row of ``docs``, repeated or not; a null id is never held out; see
+    ``train`` and ``score_toxicity`` for null, empty and repeated texts and for
+    tables without rows. Other columns are not looked at.
+    """
     model = train(docs, labels, fold)
     scored = score_toxicity(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), model)
     return scored.select(

@@ -2,33 +2,12 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 
 import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """URI of the shared folder: ``spark.checkpoint.dir`` of the session.
-
-    Only where the session leaves it unset (tests on one machine) a temporary
-    folder is made, used for the life of this process and removed at its end.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        path = tempfile.mkdtemp(prefix="cidrloom-")
-        atexit.register(shutil.rmtree, path, ignore_errors=True)
-        _own[app] = f"file://{path}"
-    return _own[app]
-
+from ..plans.tables import shared_dir
 
 BATCH_BYTES = 8 << 20
 

@@ -227,8 +227,12 @@ def test_decontamination(docs, empty, spark):
 def test_decontamination_in_blocks(docs, spark, monkeypatch):
     items = spark.createDataFrame([(i, " ".join(COMMON.split()[i : i + 8])) for i in range(9)], "item_id long, text string")
     whole = sorted(map(tuple, decontam.contained_items(docs, items).collect()))
+    kept = sorted((tuple(r) for r in decontam.drop_contaminated(docs, items).collect()), key=repr)
     monkeypatch.setattr(decontam, "BLOCK_ITEMS", 3)
     assert sorted(map(tuple, decontam.contained_items(docs, items).collect())) == whole
+    monkeypatch.setattr(decontam, "CHAIN", 2)
+    assert sorted((tuple(r) for r in decontam.drop_contaminated(docs, items).collect()), key=repr) == kept
+    assert sorted(map(tuple, decontam.contained_items(docs, items).collect())) == whole
 
 
 def test_lines(docs, empty):
@@ -394,6 +398,29 @@ def test_mixing_rates(spark, monkeypatch):
     assert Counter(tuple(r) for r in mixing.mix_sources(df).select("doc_id", "mix_copy").collect()) == whole
 
 
+def test_mixing_large_rates(spark, monkeypatch):
+    """A rate beyond MAX_RATE is a sum of Poissons; one document may have more copies than an array holds."""
+    df = spark.createDataFrame([(i, "big" if i else "one") for i in range(2000)], "doc_id long, source string").withColumn("text", F.lit("t"))
+    monkeypatch.setattr(mixing, "RUN", 64)
+    n = {r.source: r["count"] for r in mixing.mix_sources(df, {"one": 1, "big": 1}).groupBy("source").count().collect()}
+    assert abs(n["one"] - 1000) < 5 * math.sqrt(1000) and abs(n["big"] - 1000) < 5 * math.sqrt(1000)
+    copies = [r.mix_copy for r in mixing.mix_sources(df, {"one": 1, "big": 1}).filter("source = 'one'").collect()]
+    assert sorted(copies) == list(range(1, n["one"] + 1))
+
+
+def test_columns_of_any_name(docs, spark):
+    """The caller's columns are carried whatever they are called."""
+    names = ["mix_source", "mix_cdf", "mix_u", "mix_n", "mix_salt", "mix_salt_of", "row", "doc", "n", "lo", "cdf", "salt", "_gone", "_found", "_found_items", "at", "found", "_id", "node", "text2"]
+    own = docs.withColumns({c: F.lit(c) for c in names})
+    items = spark.createDataFrame([(1, COMMON)], "item_id long, text string")
+    for fn in (lambda d: mixing.mix_sources(d, size=2.0).drop("mix_copy", "mix_key"), lambda d: neardup.drop_near_duplicates(d), lambda d: decontam.drop_contaminated(d, items)):
+        out = fn(own)
+        assert out.columns == own.columns
+        rows = out.collect()
+        assert rows and all(r[c] == c for r in rows for c in names)
+        assert Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in fn(docs).collect())
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(8)
     rows = [(i, [float(x) for x in rng.normal(0, 1 + i % 3, 6)], 1) for i in range(300)]
