@@ -35,6 +35,10 @@ class Space:
     def shard(self, at: Column) -> Column:
         raise NotImplementedError
 
+    def zeros(self, at: Column) -> Column:
+        """How many of the last bits of an address that isn't 0 are 0."""
+        raise NotImplementedError
+
     def literal(self, n: int) -> Column:
         """Column of an address given as a number, up to the end of the space."""
         raise NotImplementedError
@@ -54,6 +58,9 @@ class _Narrow(Space):
     def shard(self, at: Column) -> Column:
         return F.shiftright(at, 16)
 
+    def zeros(self, at: Column) -> Column:
+        return F.bit_count(F.bitwise_not(at).bitwiseAND(at - 1))
+
     def literal(self, n: int) -> Column:
         return F.lit(n).cast("long")
 
@@ -80,6 +87,11 @@ def _next_up(half: Column) -> Column:
     return F.when(half == -1, F.lit(0).cast("long")).when(half == (1 << 63) - 1, F.lit(_SIGN)).otherwise(half + 1)
 
 
+def _trailing(half: Column) -> Column:
+    """Zero bits at the end of a half that isn't 0."""
+    return F.when(half == _SIGN, 63).otherwise(F.bit_count(F.bitwise_not(half).bitwiseAND(half - 1)))
+
+
 class _Wide(Space):
     def mask(self, at: Column, plen: Column) -> Column:
         h, l = halves(at)
@@ -97,6 +109,10 @@ class _Wide(Space):
         narrow = (h == 0) & (F.shiftrightunsigned(l, 32) == 0)
         return F.when(at["c"] == 1, F.lit((1 << 16) + (1 << 20))).when(narrow, F.shiftright(l, 16)).otherwise((1 << 16) + F.shiftrightunsigned(h, 44))
 
+    def zeros(self, at: Column) -> Column:
+        h, l = halves(at)
+        return F.when(l != 0, _trailing(l)).otherwise(64 + _trailing(h))
+
     def literal(self, n: int) -> Column:
         c, n = divmod(n, 1 << 128)
         signed = lambda x: x - (1 << 64) if x >> 63 else x

@@ -16,14 +16,20 @@ class LayerInvariantError(ValueError):
 
 
 def nodes(records: DataFrame, space: Space = V4) -> DataFrame:
-    """Distinct strict ancestors (lo, depth) of the records of a total cover: the tree's inner nodes."""
-    up = records.select("lo", F.explode(F.sequence(F.lit(0), F.col("plen") - 1)).alias("depth"))
-    return up.select(space.mask(F.col("lo"), F.col("depth")).alias("lo"), "depth").distinct()
+    """Inner nodes (lo, depth) of the tree whose leaves are the records of a total cover.
+
+    Each is where two neighbours part: the start of every record but the first
+    is the middle of exactly one node, whose size the start's lowest bit tells.
+    So a node is computed from each record by itself, without a shuffle.
+    """
+    depth = (F.lit(space.bits - 1) - space.zeros(F.col("lo"))).cast("int")
+    inner = records.filter(F.col("lo") != space.literal(0)).select("lo", depth.alias("depth"))
+    return inner.select(space.mask(F.col("lo"), F.col("depth")).alias("lo"), "depth")
 
 
 def node_count(records: DataFrame, space: Space = V4) -> DataFrame:
-    """Inner nodes of a total cover; an empty one has its root."""
-    return nodes(records, space).agg(F.greatest(F.count(F.lit(1)), F.lit(1)).alias("node_count"))
+    """Inner nodes of a total cover: one fewer than its records."""
+    return records.agg(F.greatest(F.count(F.lit(1)) - 1, F.lit(1)).alias("node_count"))
 
 
 def numbered_nodes(records: DataFrame, space: Space = V4) -> DataFrame:
