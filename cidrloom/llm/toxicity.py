@@ -2,8 +2,9 @@
 
 Terms are a text's words (letters and digits, ASCII case folded) and the first
 four, five and six bytes of longer words, hashed to ``2**BITS`` buckets. Of these, the
-buckets whose presence goes with the label (chi-square over the fitting sample)
-carry a weight and a vector of ``RANK`` factors; a text's score is the logistic
+buckets whose presence goes with the label (chi-square over the fitting sample),
+and those of the ``FREQUENT`` most common ones that do so in pairs though not
+alone, carry a weight and a vector of ``RANK`` factors; a text's score is the logistic
 of bias, weights and all pairwise products of factors over the distinct chosen
 buckets that it holds, so two terms together can say more than the two apart.
 
@@ -33,6 +34,9 @@ STEMS = (4, 5, 6)
 MAX_PER_CLASS = 6000
 MAX_TERMS = 20_000
 MIN_CHI2 = 8.0
+#: Common terms whose pairs are looked at (131,000 pairs), and what a pair needs to be taken.
+FREQUENT = 512
+MIN_PAIR_CHI2, MIN_PAIR_SEEN = 60.0, 20
 
 
 def _buckets(words: Words) -> tuple[np.ndarray, np.ndarray]:
@@ -78,6 +82,25 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.bias + lin + 0.5 * pairs, -30, 30)))
 
 
+def _chi2(seen, hit, n: int, pos: int):
+    gap = hit * n - seen * pos
+    return gap**2 * n / np.maximum(seen * (n - seen) * pos * (n - pos), 1)
+
+
+def paired_terms(row: np.ndarray, term: np.ndarray, labels: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """Of the terms ``among``, those that together with another one of them go with the label."""
+    place = np.full(int(term.max(initial=-1)) + 1, -1)
+    place[among] = np.arange(len(among))
+    keep = place[term] >= 0
+    held = np.zeros((len(labels), len(among)), np.float32)
+    held[row[keep], place[term[keep]]] = 1
+    toxic = held[labels == 1]
+    seen, hit = (held.T @ held).astype(float), (toxic.T @ toxic).astype(float)
+    good = (_chi2(seen, hit, len(labels), len(toxic)) >= MIN_PAIR_CHI2) & (seen >= MIN_PAIR_SEEN)
+    np.fill_diagonal(good, False)
+    return among[good.any(1)]
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 1, steps: int = 400, rate: float = 0.05, l2: float = 1e-4) -> Model:
     """Factorization machine over the distinct buckets of each row."""
     n, pos = len(rows), int(labels.sum())
@@ -88,10 +111,11 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 1, steps: int =
     terms, inverse = np.unique(bucket, return_inverse=True)
     seen = np.bincount(inverse, minlength=len(terms)).astype(float)
     seen_pos = np.bincount(inverse, labels[row].astype(float), len(terms))
-    gap = seen_pos * n - seen * pos
-    chi2 = gap**2 * n / np.maximum(seen * (n - seen) * pos * (n - pos), 1)
+    chi2 = _chi2(seen, seen_pos, n, pos)
     best = np.argsort(-chi2, kind="stable")[:MAX_TERMS]
-    best = np.sort(best[(chi2[best] >= MIN_CHI2) & (seen[best] >= 2)])
+    best = best[(chi2[best] >= MIN_CHI2) & (seen[best] >= 2)]
+    common = np.argsort(-seen, kind="stable")[:FREQUENT]
+    best = np.union1d(best, paired_terms(row, inverse, labels, np.setdiff1d(common, best)))
     index = np.full(len(terms), -1)
     index[best] = np.arange(len(best))
     keep = index[inverse] >= 0
@@ -150,7 +174,7 @@ def _only(terms: np.ndarray):
 
 
 def select_terms(rows: DataFrame) -> np.ndarray:
-    """Sorted buckets, at most MAX_TERMS, whose presence goes with the label of rows (toxic, terms)."""
+    """Sorted buckets of rows (toxic, terms): at most MAX_TERMS whose presence goes with the label, and the FREQUENT most common."""
     n, pos = rows.agg(F.count(F.lit(1)), F.sum("toxic")).first()
     pos = pos or 0
     each = rows.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("seen"), F.sum("toxic").alias("hit"))
@@ -158,7 +182,8 @@ def select_terms(rows: DataFrame) -> np.ndarray:
     gap = hit * n - seen * pos
     chi2 = F.try_divide(gap * gap * n, seen * (n - seen) * F.lit(float(pos)) * F.lit(float(n - pos)))
     best = each.withColumn("chi2", chi2).filter((F.col("chi2") >= MIN_CHI2) & (F.col("seen") >= 2)).orderBy(F.desc("chi2"), "term").limit(MAX_TERMS)
-    return np.array(sorted(r.term for r in best.select("term").collect()), np.int64)
+    common = each.orderBy(F.desc("seen"), "term").limit(FREQUENT)
+    return np.array(sorted(r.term for r in best.select("term").union(common.select("term")).distinct().collect()), np.int64)
 
 
 def train(docs: DataFrame, labels: DataFrame, fold: int = 5) -> Model:

@@ -504,6 +504,49 @@ def test_toxicity_learns_pairs():
     assert np.abs(model.v).max() > 0.05
 
 
+def test_toxicity_learns_pairs_of_neutral_terms():
+    """Terms that say nothing apart (toxic if one of them is there alone): linear weights can't tell, the factors can."""
+    rng = np.random.default_rng(1)
+    rows, labels = [], []
+    for _ in range(3000):
+        a, b = rng.random(2) < 0.5
+        rows.append(np.unique(np.concatenate([rng.integers(100, 4000, 20), [1] * int(a), [2] * int(b)])))
+        labels.append(int(a != b))
+    model = toxicity.fit(rows[:2000], np.array(labels[:2000]))
+    index = {t: i for i, t in enumerate(model.terms.tolist())}
+    assert {1, 2} <= set(index)
+    pairs = np.array([(n, index[t]) for n, r in enumerate(rows[2000:]) for t in r.tolist() if t in index]).T
+    right = lambda m: ((m.scores(*pairs, 1000) >= 0.5) == np.array(labels[2000:])).mean()
+    linear = toxicity.Model(model.terms, model.bias, model.w, np.zeros_like(model.v))
+    assert right(model) > 0.9 > 0.8 > right(linear)
+
+
+def test_toxicity_score_by_hand(spark):
+    """Scores of whole texts, computed pair by pair from the words."""
+    texts = {1: "You awful GROUP-x person", 2: "a nice day, awful weather", 3: "", 4: None, 5: "person of group-x " * 300, 6: "awful awful awful"}
+    docs = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
+    import re
+
+    import pyarrow as pa
+
+    def buckets(text):
+        words = re.findall("[a-z0-9]+", (text or "").lower())
+        found = set()
+        for w in words:
+            block = next(toxicity.split_words(pa.array([w], pa.large_string()), True, toxicity.PUNCT))
+            found |= set(toxicity._buckets(block)[1].tolist())
+        return found
+
+    terms = np.array(sorted(buckets("awful person group x weather")))
+    rng = np.random.default_rng(3)
+    model = toxicity.Model(terms, -0.3, rng.normal(0, 1, len(terms)), rng.normal(0, 0.5, (len(terms), toxicity.RANK)))
+    got = {r.doc_id: r.tox_score for r in toxicity.score_toxicity(docs, model).collect()}
+    for i, text in texts.items():
+        have = [j for j, t in enumerate(terms.tolist()) if t in buckets(text)]
+        z = model.bias + sum(model.w[j] for j in have) + sum(float(model.v[a] @ model.v[b]) for n, a in enumerate(have) for b in have[:n])
+        assert got[i] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))))
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
@@ -528,6 +571,40 @@ def test_language_model(docs, empty):
     assert lm.score_documents(empty).count() == 0
 
 
+def test_language_model_score_by_hand(spark, monkeypatch):
+    """Whole documents scored token by token with the formulas of the gated unit and the two softmaxes."""
+    import pyarrow as pa
+
+    models, fit = [], lm.fit_rounds
+    monkeypatch.setattr(lm, "fit_rounds", lambda blocks, model, n: (fit(blocks, model, n), models.append(model))[0])
+    monkeypatch.setattr(lm, "VOCABULARY", 70)
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(120)]
+    texts = {i: " ".join(words[min(int(rng.pareto(1.0) * 3), 119)] for _ in range(int(rng.integers(0, 90)))) for i in range(40)} | {40: None, 41: "W1 never seen W1"}
+    docs = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm.score_documents(docs).collect()}
+    model, counts = models[0], Counter()
+    par = {k: v.astype(np.float64) for k, v in model.par.items()}
+    for i, t in texts.items():
+        if not lm.is_held_out(i):
+            counts.update((t or "").lower().split())
+    sig, hidden = lambda x: 1 / (1 + np.exp(-x)), lm.HIDDEN
+    for i, t in texts.items():
+        ids = model.encode(lm._tokens(pa.array([t or ""], pa.large_string()))[0])
+        h, before, total = np.zeros(hidden), len(par["x"]) - 1, 0.0
+        for word, y in zip([*(t or "").lower().split(), None], ids.tolist()):
+            g, s = par["x"][before], h @ par["u"]
+            z, r = sig(g[:hidden] + s[:hidden]), sig(g[hidden : 2 * hidden] + s[hidden : 2 * hidden])
+            h = z * h + (1 - z) * np.tanh(g[2 * hidden :] + r * s[2 * hidden :])
+            kind, own = divmod(y, lm.CLASS_WORDS)
+            a, b = h @ par["wc"] + par["bc"], h @ par["ww"][kind] + par["bw"][kind]
+            total += (a[kind] - np.log(np.exp(a).sum()) + b[own] - np.log(np.exp(b).sum())) / np.log(10)
+            if y == model.other:
+                total += math.log10((counts[word] + 1) / (model.rest_n + model.rest_v + 1))
+            before = y
+        assert got[i] == pytest.approx(total, rel=1e-3, abs=1e-3)
+
+
 def test_gradient():
     rng = np.random.default_rng(1)
     par = {k: v.astype(np.float64) for k, v in lm.new_parameters(70, 5).items()}
