@@ -22,7 +22,7 @@ def _shards(log: DataFrame) -> DataFrame:
 def rebuild(spark: SparkSession, log_path: str, layer_path: str, values: Sequence[str], shards: list[int], how: str = "replace") -> None:
     """Fold the log anew for the given /8 shards and replace just those of the layer."""
     log = spark.read.parquet(log_path).filter(F.col("shard").isin(shards))
-    each = log.select("shard", "seq", "lo", "plen", *values)
+    each = log.select(F.col("shard").cast("long").alias("shard"), "seq", "lo", "plen", *values)
     start = F.col("shard") * SHARD
     whole = F.col("plen") < 8  # a wider insert is cut to its part of the shard
     cut = each.withColumns({"lo": F.when(whole, start).otherwise(F.col("lo")), "plen": F.when(whole, 8).otherwise(F.col("plen"))}).drop("shard")
