@@ -5,13 +5,19 @@ the whole corpus for each block send arrays keyed by hash bucket instead of
 rows, and get arrays back keyed by block. The answers are written beside the
 blocks, one file for each file of blocks, and a task that scans a file of
 blocks reads the file of answers that belongs to it: texts are never shuffled.
+
+Blocks and buckets both grow with the corpus, so a message for each pair of
+them would grow with its square. Messages are sent and answered by groups of
+``GROUP`` blocks of a file.
 """
 
 from __future__ import annotations
 
+import itertools
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.ipc
 from pyspark import TaskContext
@@ -21,6 +27,8 @@ from pyspark.sql import functions as F
 from .workspace import bounded_batches, filesystem, new_folder, partitions, stash
 
 BLOCK_BYTES = 1 << 20
+#: Blocks of a file that share a message to a bucket.
+GROUP = 16
 _SHIFT = 24
 _SCHEMA = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.int64())), ("texts", pa.list_(pa.string()))])
 
@@ -51,6 +59,19 @@ def each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[in
             yield b.column("block")[i].as_py(), b.column("ids")[i].as_py(), b.column("texts")[i].values.cast(pa.large_string())
 
 
+def place_in_file(block: int) -> int:
+    return block & (1 << _SHIFT) - 1
+
+
+def group_of(block: int) -> int:
+    return block >> _SHIFT << _SHIFT | place_in_file(block) // GROUP
+
+
+def each_group(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, Iterator[tuple[int, list[int | None], pa.Array]]]]:
+    """(group, its blocks as ``each_block`` gives them), one block held at a time."""
+    return itertools.groupby(each_block(batches), lambda x: group_of(x[0]))
+
+
 def by_bucket(rows: DataFrame, fn: Callable, schema: str) -> DataFrame:
     """Run ``fn(bucket's rows as one table) -> batches`` for each value of ``bucket``."""
 
@@ -76,7 +97,7 @@ def by_bucket(rows: DataFrame, fn: Callable, schema: str) -> DataFrame:
 
 
 def write_side(rows: DataFrame, label: str) -> str:
-    """Write (block, payload columns) as a file for each file of blocks; returns the folder's URI."""
+    """Write (group as ``block``, payload columns) as a file for each file of blocks; returns the folder's URI."""
     spark = rows.sparkSession
     uri = new_folder(spark, label)
     fs, folder = filesystem(uri)
@@ -93,13 +114,17 @@ def write_side(rows: DataFrame, label: str) -> str:
                 fs.move(temp, f"{folder}/{at}.arrow")
 
         for b in batches:
-            for i, x in enumerate(b.column("block").to_pylist()):
-                if x >> _SHIFT != at:
+            files = b.column("block").to_numpy() >> _SHIFT
+            cut = [0, *(np.flatnonzero(files[1:] != files[:-1]) + 1).tolist(), len(files)]
+            for lo, hi in zip(cut, cut[1:]):
+                if lo == hi:
+                    continue
+                if files[lo] != at:
                     close()
-                    at, temp = x >> _SHIFT, f"{folder}/{uuid.uuid4().hex}"
+                    at, temp = int(files[lo]), f"{folder}/{uuid.uuid4().hex}"
                     sink = fs.open_output_stream(temp)
                     out = pa.ipc.new_file(sink, b.schema, options=pa.ipc.IpcWriteOptions(compression="zstd"))
-                out.write_batch(b.slice(i, 1))
+                out.write_batch(b.slice(lo, hi - lo))
         close()
         yield pa.RecordBatch.from_arrays([pa.array([0])], ["done"])
 
@@ -110,19 +135,19 @@ def write_side(rows: DataFrame, label: str) -> str:
 
 
 class SideReader:
-    """Rows that ``write_side`` wrote for a block, one file held at a time."""
+    """Rows that ``write_side`` wrote for a group, one file held at a time."""
 
     def __init__(self, uri: str):
         self.fs, self.folder = filesystem(uri)
         self.at, self.rows = None, {}
 
-    def get(self, block: int) -> list[dict]:
-        if block >> _SHIFT != self.at:
-            self.at, self.rows = block >> _SHIFT, {}
+    def get(self, group: int) -> list[dict]:
+        if group >> _SHIFT != self.at:
+            self.at, self.rows = group >> _SHIFT, {}
             path = f"{self.folder}/{self.at}.arrow"
             if self.fs.get_file_info(path).type == pa.fs.FileType.File:
                 with self.fs.open_input_file(path) as f:
                     table = pa.ipc.open_file(f).read_all()
                 for r in table.to_pylist():
                     self.rows.setdefault(r["block"], []).append(r)
-        return self.rows.get(block, [])
+        return self.rows.get(group, [])

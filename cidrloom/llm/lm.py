@@ -1,8 +1,8 @@
 """Operator 6: document log-likelihood under a gated recurrent language model.
 
 Counts of every word of the training documents are gathered from the whole
-corpus: blocks of texts send their different words' hashes with counts, by hash
-bucket, and get the corpus counts of those words back. They give the base score
+corpus: groups of blocks of texts send their different words' hashes with
+counts, by hash bucket, and get the corpus counts of those words back. They give the base score
 and the vocabulary of the recurrent model, the ``VOCABULARY`` most frequent
 words and one class for all others, within which a word has its share of the
 counts (plus one) of all others, so rare words carry corpus-wide statistics too.
@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import SideReader, by_bucket, each_block, make_blocks, write_side
+from .blocks import SideReader, by_bucket, each_block, each_group, make_blocks, write_side
 from .textwords import split_words, text_column
 from .workspace import partitions, stash
 
@@ -52,6 +52,10 @@ RUN = 4096
 LANES = 1024
 POOL_TOKENS = 3_000_000
 END = np.uint64(0xE7037ED1A0B428DB)
+#: Bytes of text that are hashed at once, so that their sums stay in the processor's cache.
+PIECE = 1 << 17
+#: Leading bits of a hash by which the vocabulary is looked up.
+_LEAD = 18
 
 
 def is_held_out(doc_id: int | None, fold: int = 7, rest: int = 2) -> bool:
@@ -61,7 +65,7 @@ def is_held_out(doc_id: int | None, fold: int = 7, rest: int = 2) -> bool:
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of each text and its end, and where each text's tokens start."""
     hashes, bounds, at = [], [np.zeros(1, np.int64)], 0
-    for words in split_words(texts, True):
+    for words in split_words(texts, True, max_bytes=PIECE):
         docs = words.hi - words.lo
         row = np.repeat(np.arange(docs), np.diff(words.bounds))
         out = np.full(len(words.start) + docs, END, np.uint64)
@@ -85,20 +89,25 @@ def _send_counts(buckets: int):
     schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("hashes", pa.binary()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, ids, texts in each_block(batches):
-            h, bounds = _tokens(texts)
-            u, inverse = np.unique(h, return_inverse=True)
-            learn = np.repeat([not is_held_out(i) for i in ids], np.diff(bounds))
-            count = np.bincount(inverse, learn, len(u)).astype(np.uint32)
+        for group, blocks in each_group(batches):
+            words, counts = [], []
+            for _, ids, texts in blocks:
+                h, bounds = _tokens(texts)
+                learn = np.repeat([not is_held_out(i) for i in ids], np.diff(bounds))
+                u, count = np.unique(h[learn], return_counts=True)
+                words += [u, np.unique(h[~learn])]
+                counts += [count, np.zeros(len(words[-1]), np.int64)]
+            u, inverse = np.unique(np.concatenate(words), return_inverse=True)
+            count = np.bincount(inverse, np.concatenate(counts), len(u)).astype(np.uint32)
             order, names, lo, hi = _by_bucket_order(u, buckets)
             packed = [[x[order[a:b]].tobytes() for a, b in zip(lo, hi)] for x in (u, count)]
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(np.full(len(names), block)), *(pa.array(x, pa.binary()) for x in packed)], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int32()), pa.array(np.full(len(names), group)), *(pa.array(x, pa.binary()) for x in packed)], schema=schema)
 
     return run
 
 
 def _sum_counts(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Corpus counts of each block's words in a bucket; and, under block -1, the bucket's totals and top words."""
+    """A group's words in a bucket and their corpus counts; and, under block -1, the bucket's totals and top words."""
     hashes = table.column("hashes").to_pylist()
     size = np.array([len(x) // 8 for x in hashes])
     u, inverse = np.unique(np.frombuffer(b"".join(hashes), np.uint64), return_inverse=True)
@@ -114,17 +123,17 @@ def _sum_counts(table: pa.Table) -> Iterator[pa.RecordBatch]:
             pa.array(np.append(table.column("block").to_numpy(), -1)),
             pa.array([bucket] * (n + 1), pa.int32()),
             pa.array([*rows, total[top].tobytes()], pa.binary()),
-            pa.array([None] * n + [u[top].tobytes()], pa.binary()),
+            pa.array([*hashes, u[top].tobytes()], pa.binary()),
             pa.array([0] * n + [int(total.sum())], pa.int64()),
             pa.array([0] * n + [int((total > 0).sum())], pa.int64()),
         ],
-        ["block", "bucket", "counts", "top", "n", "v"],
+        ["block", "bucket", "counts", "hashes", "n", "v"],
     )
 
 
 def _unpack_top(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for t, c in zip(b.column("top").to_pylist(), b.column("counts").to_pylist()):
+        for t, c in zip(b.column("hashes").to_pylist(), b.column("counts").to_pylist()):
             yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(t, np.int64)), pa.array(np.frombuffer(c, np.int64))], ["hash", "c"])
 
 
@@ -142,12 +151,23 @@ class Model:
     def other(self) -> int:
         return len(self.vocab)
 
+    @functools.cached_property
+    def _lookup(self) -> tuple[np.ndarray, int]:
+        """The first word at or after each value of the leading bits, and the most words that share one."""
+        at = np.searchsorted(self.vocab >> np.uint64(64 - _LEAD), np.arange((1 << _LEAD) + 1))
+        return at[:-1].astype(np.int32), int(np.diff(at).max())
+
     def encode(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.vocab):
-            return np.where(h == END, self.other + 1, self.other).astype(np.int32)
-        at = np.minimum(np.searchsorted(self.vocab, h), len(self.vocab) - 1)
-        out = np.where(self.vocab[at] == h, self.code[at], self.other)
-        return np.where(h == END, self.other + 1, out).astype(np.int32)
+        out = np.full(len(h), self.other, np.int32)
+        if len(self.vocab):
+            first, most = self._lookup
+            at = first[h >> np.uint64(64 - _LEAD)]
+            for j in range(most):
+                here = np.minimum(at + j, len(self.vocab) - 1)
+                hit = self.vocab[here] == h
+                out[hit] = self.code[here[hit]]
+        out[h == END] = self.other + 1
+        return out
 
 
 def new_parameters(size: int, hidden: int, seed: int = 6) -> dict[str, np.ndarray]:
@@ -167,6 +187,8 @@ def new_parameters(size: int, hidden: int, seed: int = 6) -> dict[str, np.ndarra
 
 #: Rows of logits that are worked on at once, so that they stay in the processor's cache.
 CHUNK = 2048
+#: Rows up to which classes are worked on together, to spare calls.
+FEW = 256
 #: Logits within this bound can't overflow, so their largest needn't be taken off first.
 _SAFE = 60.0
 
@@ -178,7 +200,7 @@ def _ones(n: int, kind: np.dtype) -> np.ndarray:
 
 def _gates(par: dict, x: np.ndarray) -> np.ndarray:
     """Input of the gates (steps, 3 * hidden, lanes) of previous tokens (steps, lanes)."""
-    return np.ascontiguousarray(par["x"][x].transpose(0, 2, 1))
+    return np.ascontiguousarray(np.take(par["x"], x, 0).transpose(0, 2, 1))
 
 
 def _step(u: np.ndarray, h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -207,55 +229,91 @@ def _places(table: np.ndarray, at: np.ndarray) -> np.ndarray:
     return np.arange(0, table.size, table.shape[1]) + at
 
 
-def _log_softmax_at(logits: np.ndarray, at: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(log-probability of column ``at``, sum) of each row; ``logits`` become the exponentials that sum to it."""
+def _log_softmax_at(logits: np.ndarray, own: np.ndarray, safe: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(log-probability of the flat places ``own``, sum) of each row; ``logits`` become the exponentials that sum to it."""
     if not safe:
         logits -= logits.max(1, keepdims=True)
-    mine = logits.ravel()[_places(logits, at)]
+    mine = logits.ravel()[own]
     np.exp(logits, logits)
     total = logits @ _ones(logits.shape[1], logits.dtype)
     return mine - np.log(total), total
 
 
+def _with_bias(weight: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """The bias as the weights of one more input, which is 1."""
+    return np.concatenate([weight, bias[..., None, :]], -2)
+
+
 def _output(par: dict, h: np.ndarray, y: np.ndarray, grad: dict | None = None) -> np.ndarray:
     """Log-probability of each target after states ``h`` (rows); adds to ``grad`` and sets its ``h`` if given."""
     kind = y // CLASS_WORDS
     order = np.argsort(kind.astype(np.uint16), kind="stable")
-    h, kind, own = h[order], kind[order], (y % CLASS_WORDS)[order]
+    rows_in, kind, own = np.ones((len(h), h.shape[1] + 1), h.dtype), kind[order], (y % CLASS_WORDS)[order]
+    rows_in[:, :-1] = np.take(h, order, 0)
     cut = np.searchsorted(kind, np.arange(len(par["bc"]) + 1))
     # states lie between -1 and 1
     safe = float(max((np.abs(par["wc"]).sum(0) + np.abs(par["bc"])).max(), (np.abs(par["ww"]).sum(1) + np.abs(par["bw"])).max())) < _SAFE
     logp, dh = np.empty(len(y), h.dtype), None if grad is None else np.empty_like(h)
+    wc, ww = _with_bias(par["wc"], par["bc"]), _with_bias(par["ww"], par["bw"])
+    dc, dw = (None, None) if grad is None else (np.zeros_like(wc), np.zeros_like(ww))
 
-    def descend(p: np.ndarray, total: np.ndarray, at: np.ndarray, rows: np.ndarray, weight: np.ndarray, bias: np.ndarray) -> np.ndarray:
-        p.ravel()[_places(p, at)] -= total
-        each = 1 / total
-        weight += (rows * each[:, None]).T @ p
-        bias += each @ p
-        return each[:, None]
+    def descend(p: np.ndarray, total: np.ndarray, at: np.ndarray, rows: np.ndarray, slope: np.ndarray) -> np.ndarray:
+        p.ravel()[at] -= total
+        each = (1 / total)[:, None]
+        slope += (rows * each).T @ p
+        return each
 
     for lo in range(0, len(y), CHUNK):
-        rows, at = h[lo : lo + CHUNK], kind[lo : lo + CHUNK]
-        p = rows @ par["wc"]
-        p += par["bc"]
+        rows = rows_in[lo : lo + CHUNK]
+        p = rows @ wc
+        at = _places(p, kind[lo : lo + CHUNK])
         logp[lo : lo + CHUNK], total = _log_softmax_at(p, at, safe)
         if grad is not None:
-            each = descend(p, total, at, rows, grad["wc"], grad["bc"])
+            each = descend(p, total, at, rows, dc)
             np.multiply(p @ par["wc"].T, each, out=dh[lo : lo + CHUNK])
-    for c in np.flatnonzero(np.diff(cut)).tolist():
-        for lo in range(cut[c], cut[c + 1], CHUNK):
-            hi = min(lo + CHUNK, cut[c + 1])
-            rows, at = h[lo:hi], own[lo:hi]
-            q = rows @ par["ww"][c]
-            q += par["bw"][c]
+    own = own + np.arange(0, len(own) * CLASS_WORDS, CLASS_WORDS)
+    cut = cut.tolist()
+    for c, (first, last) in enumerate(zip(cut, cut[1:])):
+        for lo in range(first, last if last - first > FEW else first, CHUNK):
+            hi = min(lo + CHUNK, last)
+            rows = rows_in[lo:hi]
+            q = rows @ ww[c]
+            at = own[lo:hi] - lo * CLASS_WORDS
             more, total = _log_softmax_at(q, at, safe)
             logp[lo:hi] += more
             if grad is not None:
-                each = descend(q, total, at, rows, grad["ww"][c], grad["bw"][c])
-                dh[lo:hi] += (q @ par["ww"][c].T) * each
+                each = descend(q, total, at, rows, dw[c])
+                more = q @ par["ww"][c].T
+                more *= each
+                dh[lo:hi] += more
+    start, size = np.array(cut[:-1]), np.diff(cut)
+    few = np.flatnonzero((size > 0) & (size <= FEW))
+    few = few[np.argsort(size[few], kind="stable")]
+    while len(few):  # classes of few rows at once, filled up to the largest of them
+        cs = few[: np.searchsorted(size[few], max(8, size[few[0]] * 3 // 2), "right")]
+        few = few[len(cs) :]
+        here = np.arange(size[cs[-1]]) < size[cs, None]
+        at = np.minimum(start[cs, None] + np.arange(here.shape[1]), len(y) - 1)
+        rows, mine = np.take(rows_in, at, 0), at[here]
+        q = rows @ ww[cs]
+        if not safe:
+            q -= q.max(2, keepdims=True)
+        place = np.arange(0, q.size, CLASS_WORDS).reshape(at.shape)[here] + (own[mine] - mine * CLASS_WORDS)
+        picked = q.ravel()[place]
+        np.exp(q, q)
+        total = q @ _ones(CLASS_WORDS, q.dtype)
+        logp[mine] += picked - np.log(total[here])
+        if grad is not None:
+            q.ravel()[place] -= total[here]
+            each = (here / total).astype(q.dtype)[:, :, None]
+            dw[cs] = (rows * each).transpose(0, 2, 1) @ q
+            dh[mine] += ((q @ par["ww"][cs].transpose(0, 2, 1)) * each)[here]
     out = np.empty_like(logp)
     out[order] = logp
     if grad is not None:
+        for k, d in (("c", dc), ("w", dw)):
+            grad[f"w{k}"] += d[..., :-1, :]
+            grad[f"b{k}"] += d[..., -1, :]
         grad["h"] = np.empty_like(dh)
         grad["h"][order] = dh
     return out
@@ -320,8 +378,9 @@ def train(par: dict, ids: np.ndarray, bounds: np.ndarray, epochs: int = 3, lanes
     bounds, before = cut_runs(ids, bounds, start, RUN)
     y, x, fresh, doc = _lay_out(ids, bounds, lanes, before)
     moments = new_moments(par) if moments is None else moments
-    first, second = moments["first"], moments["second"]
-    grad, spare = ({k: np.empty_like(v) for k, v in par.items()} for _ in range(2))
+    own, moved = par, [_joined(d) for d in (par, moments["first"], moments["second"], par)]
+    par, grad = moved[0][1], moved[3][1]
+    spare = np.empty(min(STEP, len(moved[0][0])), moved[0][0].dtype)
     done, total = 0, epochs * -(-len(y) // WINDOW)
     for _ in range(epochs):
         h = np.zeros((hidden, y.shape[1]), par["u"].dtype)
@@ -378,29 +437,63 @@ def train(par: dict, ids: np.ndarray, bounds: np.ndarray, epochs: int = 3, lanes
             words = words[order]
             cut = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
             rows = np.ascontiguousarray(pull.transpose(0, 2, 1)).reshape(-1, 3 * hidden)
-            grad["x"][words[cut]] = np.add.reduceat(rows[order], cut)
+            grad["x"][words[cut]] = _sum_runs(rows, order, cut)
             done += 1
             moments["t"] += 1
             t = moments["t"]
-            norm = np.sqrt(sum(float(np.vdot(g, g)) for g in grad.values()))
+            norm = np.sqrt(float(np.vdot(moved[3][0], moved[3][0])))
             scale = min(1.0, 1.0 / (norm + 1e-9))
             lr = rate * (1 - fall * done / total) * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
-            for k, g in grad.items():
+            for at in range(0, len(moved[0][0]), STEP):
+                p, first, second, g = (flat[at : at + STEP] for flat, _ in moved)
+                old = spare[: len(g)]
                 g *= scale
-                old = spare[k]
-                np.subtract(g, first[k], old)
+                np.subtract(g, first, old)
                 old *= 0.1
-                first[k] += old
+                first += old
                 g *= g
-                g -= second[k]
+                g -= second
                 g *= 0.001
-                second[k] += g
-                np.sqrt(second[k], g)
+                second += g
+                np.sqrt(second, g)
                 g += 1e-8
-                np.divide(first[k], g, g)
+                np.divide(first, g, g)
                 g *= lr
-                par[k] -= g
-    return par
+                p -= g
+    for d, (_, views) in zip((own, moments["first"], moments["second"]), moved):
+        for k, v in views.items():
+            d[k][...] = v
+    return own
+
+
+def _sum_runs(rows: np.ndarray, order: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """Sums of the runs of ``rows[order]`` that start at ``cut``: short runs row by row for all at once."""
+    size = np.diff(cut, append=len(order))
+    out = np.empty((len(cut), rows.shape[1]), rows.dtype)
+    for i in np.flatnonzero(size > 16).tolist():
+        np.add.reduce(np.take(rows, order[cut[i] : cut[i] + size[i]], 0), 0, out=out[i])
+    short = np.flatnonzero(size <= 16)
+    short = short[np.argsort(-size[short], kind="stable")]
+    at, left = cut[short], -size[short]
+    total = np.take(rows, order[at], 0)
+    for r in range(1, -int(left.min(initial=0))):
+        n = int(np.searchsorted(left, -r))
+        total[:n] += np.take(rows, order[at[:n] + r], 0)
+    out[short] = total
+    return out
+
+
+#: Parameters that a step of the optimizer works on at once, so that they stay in the processor's cache.
+STEP = 1 << 15
+
+
+def _joined(d: dict[str, np.ndarray]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """A copy of all arrays in one, and each of them as a view of it."""
+    flat, views, at = np.concatenate([v.ravel() for v in d.values()]), {}, 0
+    for k, v in d.items():
+        views[k] = flat[at : at + v.size].reshape(v.shape)
+        at += v.size
+    return flat, views
 
 
 def new_moments(par: dict) -> dict:
@@ -506,7 +599,15 @@ def log_likelihood(par: dict, ids: np.ndarray, bounds: np.ndarray, lanes: int =
     return out
 
 
-def _score(side: str, shared, buckets: int, n_all: int, v_all: int):
+def _corpus_counts(rows: list[dict]) -> tuple[np.ndarray, np.ndarray]:
+    """A group's words in order and their counts in the corpus."""
+    u = np.frombuffer(b"".join(r["hashes"] for r in rows), np.uint64)
+    c = [np.frombuffer(r["counts"], "<u4" if 2 * len(r["counts"]) == len(r["hashes"]) else "<u8").astype(float) for r in rows]
+    order = np.argsort(u)
+    return u[order], np.concatenate(c)[order]
+
+
+def _score(side: str, shared, n_all: int, v_all: int):
     fields = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("train_tokens", pa.int64()), ("base_score", pa.float64()), ("score", pa.float64())]
 
     def finish(model: Model, pool: list) -> pa.RecordBatch:
@@ -520,25 +621,22 @@ def _score(side: str, shared, buckets: int, n_all: int, v_all: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, counts, pool, held = shared.value, SideReader(side), [], 0
-        for block, docs, texts in each_block(batches):
-            h, bounds = _tokens(texts)
-            u, inverse = np.unique(h, return_inverse=True)
-            order, names, lo, hi = _by_bucket_order(u, buckets)
-            replies = {r["bucket"]: r["counts"] for r in counts.get(block)}
-            c = np.zeros(len(u))
-            for b, x, y in zip(names.tolist(), lo.tolist(), hi.tolist()):
-                raw = replies[b]
-                c[order[x:y]] = np.frombuffer(raw, "<u4" if len(raw) == 4 * (y - x) else "<u8")
-            ids = model.encode(u)
-            row = np.repeat(np.arange(len(docs)), np.diff(bounds))
-            base = np.log10((c + 1) / (n_all + v_all + 1))
-            rest = np.where(ids == model.other, np.log10((c + 1) / (model.rest_n + model.rest_v + 1)), 0.0)
-            per_doc = [np.bincount(row, w[inverse], len(docs)) for w in ((c > 0).astype(float), base, rest)]
-            pool.append((docs, ids[inverse], bounds, per_doc[0].astype(np.int64), per_doc[1], per_doc[2]))
-            held += len(h)
-            if held >= POOL_TOKENS:
-                yield finish(model, pool)
-                pool, held = [], 0
+        for group, blocks in each_group(batches):
+            known, total = _corpus_counts(counts.get(group))
+            for _, docs, texts in blocks:
+                h, bounds = _tokens(texts)
+                u, inverse = np.unique(h, return_inverse=True)
+                c = total[np.searchsorted(known, u)]
+                ids = model.encode(u)
+                row = np.repeat(np.arange(len(docs)), np.diff(bounds))
+                base = np.log10((c + 1) / (n_all + v_all + 1))
+                rest = np.where(ids == model.other, np.log10((c + 1) / (model.rest_n + model.rest_v + 1)), 0.0)
+                per_doc = [np.bincount(row, w[inverse], len(docs)) for w in ((c > 0).astype(float), base, rest)]
+                pool.append((docs, ids[inverse], bounds, per_doc[0].astype(np.int64), per_doc[1], per_doc[2]))
+                held += len(h)
+                if held >= POOL_TOKENS:
+                    yield finish(model, pool)
+                    pool, held = [], 0
         if pool:
             yield finish(model, pool)
 
@@ -559,7 +657,7 @@ def score_documents(docs: DataFrame, hidden: int = HIDDEN) -> DataFrame:
     buckets = 4 * partitions(spark)
     blocks = make_blocks(docs)
     sent = blocks.mapInArrow(_send_counts(buckets), "bucket int, block long, hashes binary, counts binary")
-    counted = stash(by_bucket(sent, _sum_counts, "block long, bucket int, counts binary, top binary, n long, v long"), "counts")
+    counted = stash(by_bucket(sent, _sum_counts, "block long, bucket int, counts binary, hashes binary, n long, v long"), "counts")
     totals = counted.filter("block = -1")
     n_all, v_all = (x or 0 for x in totals.agg(F.sum("n"), F.sum("v")).first())
     top = totals.mapInArrow(_unpack_top, "hash long, c long").filter(F.col("hash") != int(END.astype(np.int64)))
@@ -578,9 +676,9 @@ def score_documents(docs: DataFrame, hidden: int = HIDDEN) -> DataFrame:
     model.par["bc"][:] = np.log(c.sum(1) / c.sum())  # start from the corpus counts
     model.par["bw"][:] = np.log(c / c.sum(1, keepdims=True))
     fit_rounds(blocks, model, int(n_all))
-    side = write_side(counted.filter("block >= 0").select("block", "bucket", "counts"), "counts")
+    side = write_side(counted.filter("block >= 0").select("block", "hashes", "counts"), "counts")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return blocks.mapInArrow(_score(side, spark.sparkContext.broadcast(model), buckets, n_all, v_all), schema)
+    return blocks.mapInArrow(_score(side, spark.sparkContext.broadcast(model), n_all, v_all), schema)
 
 
 def _end_count(totals: DataFrame) -> int:
