@@ -12,9 +12,9 @@ windows go back to the documents, and the words they cover are removed.
 The automata of the whole corpus grow with it and cannot be broadcast; routing
 by anchor brings to each automaton just the documents that could match it.
 
-Scale: texts are written once in blocks and scanned, never shuffled. Blocks
-send each anchor once (combined over their documents), get back those that are
-shared, and send each different passage once. An anchor in more than
+Scale: texts are written once in blocks and scanned, never shuffled. Groups of
+blocks send each anchor once (combined over their documents) and get back those
+that are shared; blocks send each different passage once. An anchor in more than
 ``HOT_ROWS`` documents is split: its windows are sent one by one, each to the
 shard of its own hash, so no shard holds all that a common anchor meets.
 """
@@ -28,13 +28,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .blocks import SideReader, by_bucket, each_block, make_blocks, write_side
+from .blocks import SideReader, by_bucket, each_group, make_blocks, place_in_file, write_side
 from .textwords import Words, mix64, shingle_hashes, split_words
 from .workspace import partitions
 
 WINDOW = 13
 GRAM = 5
 HOT_ROWS = 20_000
+#: Bytes of passages that a task holds before it sends them.
+SEND_BYTES = 16 << 20
+#: Bits of a piece's index in its block.
+_PIECE = 32
 _LAST = (1 << 63) - 1
 _WHOLE = np.uint32(0xFFFFFFFF)
 _STEP = 0x9E3779B97F4A7C15
@@ -70,20 +74,22 @@ def _send_anchors(buckets: int, window: int):
     schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("anchors", pa.binary()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, ids, texts in each_block(batches):
-            for words, _ in _blocks_words(ids, texts):
-                _, row, a = _anchors(words, window)
-                if not len(a):
-                    continue
-                new = np.ones(len(a), bool)
-                new[1:] = (a[1:] != a[:-1]) | (row[1:] != row[:-1])
-                row, a = row[new], a[new]
-                order = np.lexsort((row, a))
-                row, a = row[order], a[order]
-                new = np.ones(len(a), bool)
-                new[1:] = (a[1:] != a[:-1]) | (row[1:] != row[:-1])
-                a, count = np.unique(a[new], return_counts=True)
-                yield from _bucketed(schema, block, (a % np.uint64(buckets)).astype(np.int64), a, count.astype(np.uint32))
+        for group, blocks in each_group(batches):
+            each = []
+            for _, ids, texts in blocks:
+                for words, _ in _blocks_words(ids, texts):
+                    _, row, a = _anchors(words, window)
+                    new = np.ones(len(a), bool)
+                    new[1:] = (a[1:] != a[:-1]) | (row[1:] != row[:-1])
+                    row, a = row[new], a[new]
+                    order = np.lexsort((row, a))
+                    row, a = row[order], a[order]
+                    new = np.ones(len(a), bool)
+                    new[1:] = (a[1:] != a[:-1]) | (row[1:] != row[:-1])
+                    each.append(a[new])
+            a, count = np.unique(np.concatenate(each), return_counts=True)
+            if len(a):
+                yield from _bucketed(schema, group, (a % np.uint64(buckets)).astype(np.int64), a, count.astype(np.uint32))
 
     return run
 
@@ -105,7 +111,7 @@ def _column(table: pa.Table, name: str, dtype) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _shared(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Per block, its anchors that several documents have, and which of them are hot."""
+    """Per group of blocks, its anchors that several documents have, and which of them are hot."""
     a, row = _column(table, "anchors", np.uint64)
     count, _ = _column(table, "counts", np.uint32)
     blocks = table.column("block").to_numpy()
@@ -139,7 +145,7 @@ class Passages:
         first, row, a = _anchors(words, window)
         known = np.frombuffer(b"".join(r["anchors"] for r in shared), np.uint64)
         hot = np.frombuffer(b"".join(r["hot"] for r in shared), np.uint8) > 0
-        order = np.argsort(known)
+        order = np.argsort(known, kind="stable")
         known, hot = known[order], hot[order]
         if not len(known) or not len(a):
             self.n = np.zeros(0, np.int64)
@@ -185,28 +191,49 @@ def _plain(words: Words) -> tuple[bytes, np.ndarray, np.ndarray]:
     return out.tobytes(), start, end
 
 
+def _in_order(rows: list[dict]) -> list[dict]:
+    """A group's shared anchors in one row, sorted once for all of its blocks."""
+    if not rows:
+        return []
+    known, hot = (np.frombuffer(b"".join(r[c] for r in rows), t) for c, t in (("anchors", np.uint64), ("hot", np.uint8)))
+    order = np.argsort(known)
+    return [{"anchors": known[order].tobytes(), "hot": hot[order].tobytes()}]
+
+
 def _send_passages(uri: str, buckets: int, window: int):
+    """Passages of a group of blocks by bucket; a piece's place in its file and its index in the block are one number."""
     schema = pa.schema([("bucket", pa.int32()), ("block", pa.int64()), *((n, pa.binary()) for n in ("key", "piece", "id", "size", "text"))])
 
+    def send(group: int, held: list[tuple]) -> pa.RecordBatch:
+        key, piece, id_one, size = (np.concatenate([x[c] for x in held]) for c in range(4))
+        bucket = (mix64(key) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        b, texts = bucket[order], [t for x in held for t in x[4]]
+        cut = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
+        ends, text = np.append(cut[1:], len(b)), [texts[i] for i in order.tolist()]
+        cols = [[x[s:e].tobytes() for s, e in zip(cut, ends)] for x in (key[order], piece[order], id_one[order], size[order])]
+        blobs = [b"".join(text[s:e]) for s, e in zip(cut, ends)]
+        return pa.RecordBatch.from_arrays([pa.array(b[cut], pa.int32()), pa.array(np.full(len(cut), group)), *(pa.array(c, pa.binary()) for c in (*cols, blobs))], schema=schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         side = SideReader(uri)
-        for block, ids, texts in each_block(batches):
-            for words, id_of in _blocks_words(ids, texts):
-                p = Passages(words, id_of, side.get(block), window)
-                if not len(p.n):
-                    continue
-                raw, start, end = _plain(words)
-                lo, hi = start[p.first[p.one]], end[p.end[p.one] - 1]
-                bucket = (mix64(p.key) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                b = bucket[order]
-                cut = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
-                ends = np.append(cut[1:], len(b))
-                key, piece, id_one, size = p.key[order], order.astype(np.uint32), p.id[p.one][order], (hi - lo)[order].astype(np.uint32)
-                text = [raw[x:y] for x, y in zip(lo[order].tolist(), hi[order].tolist())]
-                cols = [[x[s:e].tobytes() for s, e in zip(cut, ends)] for x in (key, piece, id_one, size)]
-                blobs = [b"".join(text[s:e]) for s, e in zip(cut, ends)]
-                yield pa.RecordBatch.from_arrays([pa.array(b[cut], pa.int32()), pa.array(np.full(len(cut), block)), *(pa.array(c, pa.binary()) for c in (*cols, blobs))], schema=schema)
+        for group, blocks in each_group(batches):
+            shared, held, n = _in_order(side.get(group)), [], 0
+            for block, ids, texts in blocks:
+                for words, id_of in _blocks_words(ids, texts):
+                    p = Passages(words, id_of, shared, window)
+                    if not len(p.n):
+                        continue
+                    raw, start, end = _plain(words)
+                    lo, hi = start[p.first[p.one]], end[p.end[p.one] - 1]
+                    piece = np.arange(len(p.one)) + (place_in_file(block) << _PIECE)
+                    held.append((p.key, piece, p.id[p.one], (hi - lo).astype(np.uint32), [raw[x:y] for x, y in zip(lo.tolist(), hi.tolist())]))
+                    n += int((hi - lo).sum())
+                    if n >= SEND_BYTES:
+                        yield send(group, held)
+                        held, n = [], 0
+            if held:
+                yield send(group, held)
 
     return run
 
@@ -300,7 +327,7 @@ def repeated_windows(passages: list[tuple[int, bytes]], window: int) -> list[lis
 def _judge(window: int):
     def run(table: pa.Table) -> Iterator[pa.RecordBatch]:
         key, row = _column(table, "key", np.uint64)
-        piece, _ = _column(table, "piece", np.uint32)
+        piece, _ = _column(table, "piece", np.int64)
         ids, _ = _column(table, "id", np.int64)
         size, _ = _column(table, "size", np.uint32)
         blob = b"".join(table.column("text").to_pylist())
@@ -329,7 +356,7 @@ def _judge(window: int):
             return
         r = np.array(o_row)
         order = np.argsort(r, kind="stable")
-        r, p, w = r[order], np.array(o_piece, np.uint32)[order], np.array(o_window, np.uint32)[order]
+        r, p, w = r[order], np.array(o_piece, np.int64)[order], np.array(o_window, np.uint32)[order]
         cut = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
         ends = np.append(cut[1:], len(r))
         yield pa.RecordBatch.from_arrays(
@@ -343,18 +370,27 @@ def _remove(shared_uri: str, answer_uri: str, window: int, with_text: bool):
     fields = [("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())]
     schema = pa.schema([*fields, ("text", pa.string())] if with_text else fields)
 
+    def blocks(batches: Iterator[pa.RecordBatch], shared: SideReader, answers: SideReader) -> Iterator[tuple]:
+        """Each block with its group's shared anchors, and its own repeated pieces and their windows."""
+        for group, own in each_group(batches):
+            anchors, rows = _in_order(shared.get(group)), answers.get(group)
+            piece, at = (np.frombuffer(b"".join(r[c] for r in rows), t) for c, t in (("piece", np.int64), ("window", np.uint32)))
+            order = np.argsort(piece, kind="stable")
+            piece, at = piece[order], at[order]
+            for block, ids, texts in own:
+                lo, hi = np.searchsorted(piece, [place_in_file(block) << _PIECE, place_in_file(block) + 1 << _PIECE])
+                yield block, ids, texts, anchors, (piece[lo:hi] & (1 << _PIECE) - 1, at[lo:hi])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared, answers = SideReader(shared_uri), SideReader(answer_uri)
-        for block, ids, texts in each_block(batches):
+        for block, ids, texts, anchors, found in blocks(batches, shared, answers):
             for words, id_of in _blocks_words(ids, texts):
-                p = Passages(words, id_of, shared.get(block), window)
+                p = Passages(words, id_of, anchors, window)
                 gone = np.zeros(len(words.start) + 1, np.int64)
                 if len(p.n):
                     least = p.id[p.one][p.piece]
                     whole = p.id > least  # the block itself has it in a smaller id
-                    rows = answers.get(block)
-                    piece = np.frombuffer(b"".join(r["piece"] for r in rows), np.uint32).astype(np.int64)
-                    at = np.frombuffer(b"".join(r["window"] for r in rows), np.uint32)
+                    piece, at = found
                     every = np.zeros(len(p.one), bool)
                     every[piece[at == _WHOLE]] = True
                     whole |= every[p.piece]

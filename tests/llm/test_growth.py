@@ -4,7 +4,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from cidrloom.llm import blocks, lm
+from cidrloom.llm import blocks, lm, substrings
+
+from .test_edges import brute_repeats
 
 
 def block_rows(n):
@@ -41,3 +43,23 @@ def test_classes_of_few_rows_together(skew, monkeypatch):
         got.append({"p": lm._output(par, h, y, grad), **grad})
     for k in got[0]:
         assert np.allclose(got[0][k], got[1][k], rtol=0, atol=1e-10), k
+
+
+def test_anchors_are_sent_by_groups_of_blocks():
+    sent = pa.Table.from_batches(substrings._send_anchors(16, 13)(iter([block_rows(40)])))
+    assert sent.num_rows <= 16 * 3
+
+
+def test_repeats_between_blocks_of_a_group(spark):
+    """Passages shared by texts of other blocks, and pieces of one index in several blocks."""
+    rng = np.random.default_rng(7)
+    shared = [" ".join(f"s{k}x{j}" for j in range(40)) for k in range(12)]
+    rows = []
+    for i in range(36):
+        own = [f"d{i}x{j}" for j in range(16000)]
+        for k in rng.choice(12, 5, replace=False):
+            own.insert(int(rng.integers(0, 16000)), shared[k])
+        rows.append((i, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
+    assert blocks.make_blocks(df).count() > 3
+    assert sorted((tuple(r) for r in substrings.remove_repeats(df).collect()), key=repr) == brute_repeats(rows, 13)
