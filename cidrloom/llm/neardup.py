@@ -8,7 +8,12 @@ left out, and any such pair meets under one of these keys: none under the
 distance is missed. Beyond it (at a similarity of 0.85 (0.8) with probability
 2.3e-6 (3.0e-4)) most pairs share a key too: at 0.85 (0.8) none is shared with
 probability 4e-10 (1e-7). Every pair that shares a key and is not yet joined is
-confirmed, whatever its distance.
+confirmed, whatever its distance, unless it can't be a link: a sketch also
+counts the distinct shingles whose hashes lie in each of ``RANGES`` ranges. Two
+sets differ in at least as many shingles as these counts do, and those of a link
+differ in at most (100 - percent) / (100 + percent) of their sizes' sum. So
+documents that share a template, but too little to be linked, cost a comparison
+of counts instead of their texts, and no link is lost by it.
 
 Links are confirmed on the full sets of shingles, as words. Documents of equal
 sets are one node from the start. Each key first links its members to its
@@ -17,7 +22,7 @@ pairs of different components that still share a key are confirmed one by one,
 so no link between components is lost and dense groups cost one link a member.
 
 Scale: one shuffle of the keys, combined by batch, and two of the texts that
-have a candidate; stars are salted in blocks of ``STAR_BLOCK`` members with the centre
+have a candidate; members of a key meet in arrays, spread over tasks from ``KEY_BLOCK`` members on; stars are salted in blocks of ``STAR_BLOCK`` members with the centre
 repeated, so a group of any size is spread over tasks.
 """
 
@@ -39,6 +44,10 @@ CHUNKS, WIDTH, ERRORS = 12, 5, 1
 SIZE = CHUNKS * WIDTH
 MAX_DISTANCE = CHUNKS * (ERRORS + 1) - 1
 STAR_BLOCK = 2048
+RANGES = 128
+KEY_BLOCK = 8192
+#: Pairs whose counts are compared at once.
+PAIRS = 1 << 16
 #: Ids that may be broadcast to pick the texts to compare (8 bytes each); beyond it they are joined.
 MAX_BROADCAST_NODES = 1_000_000
 
@@ -73,11 +82,11 @@ def doc_shingles(words, k: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sketch(k: int):
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("sig", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("sig", pa.binary()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            count, h1, h2, sigs = [], [], [], []
+            count, h1, h2, sigs, ranges = [], [], [], [], []
             for words in split_words(text_column(b), True):
                 docs = words.hi - words.lo
                 row, h = doc_shingles(words, k)
@@ -100,9 +109,12 @@ def _sketch(k: int):
                 h1.append(sums[0].view(np.int64))
                 h2.append(sums[1].view(np.int64))
                 sigs += [s.tobytes() for s in sig]
+                # modulo 256; differences are taken around the circle, so they are never too large
+                counts = np.bincount(row * RANGES + (h >> np.uint64(57)).astype(np.int64), minlength=docs * RANGES).astype(np.uint8)
+                ranges += [c.tobytes() for c in counts.reshape(docs, RANGES)]
             cat = lambda x: np.concatenate(x) if x else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(cat(count), pa.int64()), pa.array(cat(h1)), pa.array(cat(h2)), pa.array(sigs, pa.binary())], schema=schema
+                [b.column("doc_id"), pa.array(cat(count), pa.int64()), pa.array(cat(h1)), pa.array(cat(h2)), pa.array(sigs, pa.binary()), pa.array(ranges, pa.binary())], schema=schema
             )
 
     return run
@@ -152,6 +164,71 @@ def _group_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(key[~new]), pa.array(hub[~new]), pa.array(node[~new])], schema=_ROW)
 
 
+def may_link(a: np.ndarray, b: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets with counts ``a`` and ``b`` (rows of bytes) and sizes of sum ``n`` can be alike enough."""
+    apart = a - b
+    apart = np.minimum(apart, np.negative(apart)).astype(np.float32) @ np.ones(RANGES, np.float32)
+    return apart.astype(np.int64) * (100 + percent) <= n * (100 - percent)
+
+
+def _counts(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, RANGES)
+
+
+def _possible(percent: int):
+    """Of pairs (a, b) with their sizes and counts, those that may be links."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            n = t.column("na").to_numpy() + t.column("nb").to_numpy()
+            ok = pa.array(may_link(_counts(t.column("ca")), _counts(t.column("cb")), n, percent))
+            yield t.select(["a", "b"]).filter(ok)
+
+    return run
+
+
+def _across(percent: int):
+    """Pairs of one key and different components that may be links; rows in order of (key, salt, n)."""
+
+    def pairs(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, salt, n, node, comp, own = (t.column(c).to_numpy() for c in ("key", "salt", "n", "node", "comp", "own"))
+        counts, new = _counts(t.column("counts")), np.ones(len(key), bool)
+        new[1:] = (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])
+        group = (np.cumsum(new) - 1) << 40
+        # the smaller of a link has at least percent of the larger's shingles
+        last = np.searchsorted(group + n, group + (100 * n // percent if percent else (1 << 40) - 1), "right")
+        size = last - np.arange(len(key)) - 1
+        ends = np.cumsum(size)
+        for lo in range(0, int(ends[-1]), PAIRS):
+            at = np.arange(lo, min(lo + PAIRS, int(ends[-1])))
+            i = np.searchsorted(ends, at, "right")
+            j = i + 1 + at - (ends[i] - size[i])
+            i, j = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
+            use = (comp[i] != comp[j]) & own[i]
+            i, j = i[use], j[use]
+            use = may_link(counts[i], counts[j], n[i] + n[j], percent)
+            if use.any():
+                ab = np.unique(np.stack([node[i[use]], node[j[use]]], 1), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(ab[:, 0]), pa.array(ab[:, 1])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            now = pa.Table.from_batches([b])
+            now = pa.concat_tables([held, now]).combine_chunks() if held is not None else now
+            key, salt = now.column("key").to_numpy(), now.column("salt").to_numpy()
+            cut = int(np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])]))[-1])
+            if cut:
+                yield from pairs(now.slice(0, cut))
+            held = now.slice(cut)
+        if held is not None:
+            yield from pairs(held)
+
+    return run
+
+
 def shingle_set(text: str | None, k: int) -> set:
     """Distinct shingles as tuples of words."""
     raw = (text or "").encode().translate(bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz"))
@@ -218,16 +295,19 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """
     bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sketches = stash(docs.mapInArrow(_sketch(k), "doc_id long, n long, h1 long, h2 long, sig binary"), "sketches")
-    sets = sketches.filter("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min(F.struct("doc_id", "sig")).alias("x"))
-    nodes = stash(sets.select("h1", "h2", "n", F.col("x.doc_id").alias("node"), F.col("x.sig").alias("sig")), "nodes")
+    sketches = stash(docs.mapInArrow(_sketch(k), "doc_id long, n long, h1 long, h2 long, sig binary, counts binary"), "sketches")
+    sets = sketches.filter("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min(F.struct("doc_id", "sig", "counts")).alias("x"))
+    nodes = stash(sets.select("h1", "h2", "n", F.col("x.doc_id").alias("node"), F.col("x.sig").alias("sig"), F.col("x.counts").alias("counts")), "nodes")
     signed = nodes.select("node", "sig")
 
     keys = signed.mapInArrow(_index_keys, "key long, hub long, node long")
     firsts = keys.filter("hub is null").select("key", "node").repartition(partitions(docs.sparkSession), "key").sortWithinPartitions("key", "node")
     grouped = firsts.mapInArrow(_group_keys, "key long, hub long, node long")
     members = stash(grouped.unionByName(keys.filter("hub is not null")), "members")
-    stars = stash(members.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    stars = members.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    for s in ("a", "b"):
+        stars = stars.join(nodes.select(F.col("node").alias(s), F.col("n").alias(f"n{s}"), F.col("counts").alias(f"c{s}")), s)
+    stars = stash(stars.select("a", "b", "na", "nb", "ca", "cb").mapInArrow(_possible(percent), "a long, b long").distinct(), "stars")
     links = confirm_links(docs, stars, k, percent, "star-links")
     comps = stash(connected_components(links), "components")
 
@@ -235,10 +315,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     joined = comps.withColumnRenamed("component", "comp")
     placed = members.select("key", "node").unionByName(members.select("key", F.col("hub").alias("node"))).distinct()
     placed = stash(placed.join(joined, "node", "left").select("key", "node", F.coalesce("comp", "node").alias("comp")), "placed")
-    open_keys = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x < y").select("key")
-    open_rows = stash(placed.join(open_keys, "key", "left_semi"), "open")
-    left, right = (open_rows.select("key", F.col("node").alias(s), F.col("comp").alias(f"c{s}")) for s in ("a", "b"))
-    across = left.join(right, "key").filter("a < b and ca <> cb").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+    open_keys = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count(F.lit(1)).alias("c")).filter("x < y")
+    open_keys = open_keys.select("key", F.ceil(F.col("c") / KEY_BLOCK).cast("int").alias("salts"))
+    open_rows = placed.join(open_keys, "key").join(nodes.select("node", "n", "counts"), "node")
+    # every member goes to every part of its key, and is the smaller of its pairs in one of them
+    open_rows = open_rows.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).withColumn("own", F.pmod(F.xxhash64("node"), F.col("salts")) == F.col("salt"))
+    open_rows = open_rows.select("key", "salt", "n", "node", "comp", "own", "counts").repartition(partitions(docs.sparkSession), "key", "salt").sortWithinPartitions("key", "salt", "n")
+    across = open_rows.mapInArrow(_across(percent), "a long, b long").distinct().join(stars, ["a", "b"], "left_anti")
     across = stash(across, "across")
     more = confirm_links(docs, across, k, percent, "more-links")
     many = sketches.filter("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.count_distinct("h1", "h2", "n").alias("c")).filter("c > 1")

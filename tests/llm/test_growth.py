@@ -4,9 +4,9 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from cidrloom.llm import blocks, lm, substrings
+from cidrloom.llm import blocks, lm, neardup, substrings
 
-from .test_edges import brute_repeats
+from .test_edges import brute_near, brute_repeats
 
 
 def block_rows(n):
@@ -63,3 +63,37 @@ def test_repeats_between_blocks_of_a_group(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(1)
     assert blocks.make_blocks(df).count() > 3
     assert sorted((tuple(r) for r in substrings.remove_repeats(df).collect()), key=repr) == brute_repeats(rows, 13)
+
+
+def test_template_texts_are_told_from_links_by_counts(spark, monkeypatch):
+    """Documents that share two thirds of their text share keys, but their texts are not compared; links stay."""
+    asked, confirm = [], neardup.confirm_links
+
+    def counted(docs, pairs, *rest):
+        asked.append(pairs.count())
+        return confirm(docs, pairs, *rest)
+
+    monkeypatch.setattr(neardup, "confirm_links", counted)
+    template = " ".join(f"t{j}" for j in range(260))
+    rows = [(i, template + " " + " ".join(f"d{i}x{j}" for j in range(140))) for i in range(150)]
+    rows += [(1000 + i, t.replace(f"d{i}x77", "other")) for i, t in rows[:40]]  # one word changed
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for size in (neardup.KEY_BLOCK, 16):
+        asked.clear()
+        monkeypatch.setattr(neardup, "KEY_BLOCK", size)
+        got = sorted((tuple(r) for r in neardup.near_duplicates(df, 3, 85).collect()), key=repr)
+        assert got == brute_near(rows, 3, 85)
+        assert 40 <= sum(asked) < 200
+
+
+def test_counts_lose_no_link():
+    rng = np.random.default_rng(3)
+    for percent in (50, 80, 85, 100):
+        for size in (1, 20, 300, 60000):
+            a = set(rng.integers(0, 1 << 30, size).tolist())
+            most = len(a) * (100 - percent) // (100 + percent)
+            gone = set(list(a)[:most])
+            b = (a - gone) | {-1 - i for i in range(most // 2)}
+            assert 100 * len(a & b) >= percent * len(a | b)
+            x, y = (np.bincount([v % neardup.RANGES for v in s], minlength=neardup.RANGES).astype(np.uint8)[None] for s in (a, b))
+            assert neardup.may_link(x, y, np.array([len(a) + len(b)]), percent)[0]
