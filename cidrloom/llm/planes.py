@@ -21,7 +21,6 @@ task returned are in the manifest, so lost or repeated tasks leave no trace.
 from __future__ import annotations
 
 import io
-import itertools
 import json
 import os
 import re
@@ -32,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -166,11 +166,29 @@ class PlaneReader:
 
 #: White space other than single spaces and newlines between other characters.
 _ODD = re.compile(r"\A\s|\s\Z|\s\s|[^\S \n]|[\x1c-\x1f\x85\u180e\u200b\ufeff]")
+#: Bytes of which white space other than spaces and newlines always holds one; and spaces and newlines.
+_RARE, _BLANK = np.zeros(256, bool), np.zeros(256, bool)
+_RARE[[0x09, 0x0B, 0x0C, 0x0D, *range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3, 0xEF]] = True
+_BLANK[[0x20, 0x0A]] = True
 _ALNUM = np.array([c < 128 and chr(c).isalnum() for c in range(256)])
 _TAIL = np.array([33 <= c < 127 and not chr(c).isalnum() for c in range(256)])
 _SPACED, _BARE = np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344)
 
 
+def _odd_rows(col: pa.Array, data: np.ndarray) -> np.ndarray:
+    """Which texts of a column of large strings have odd white space; ``data`` are their bytes."""
+    at = np.concatenate([[0], np.cumsum(pc.binary_length(col).to_numpy())])
+    blank, mark = _BLANK[data], _RARE[data]
+    mark[:-1] |= blank[:-1] & blank[1:]
+    some = np.flatnonzero(np.diff(at))
+    mark[at[some]] |= blank[at[some]]
+    mark[at[some + 1] - 1] |= blank[at[some + 1] - 1]
+    odd = np.zeros(len(col), bool)
+    for i in np.unique(np.searchsorted(at, np.flatnonzero(mark), "right") - 1).tolist():
+        odd[i] = bool(_ODD.search(col[i].as_py()))
+    return odd
+
+
 def _grown(a: np.ndarray, n: int) -> np.ndarray:
     """``a``, or a copy with half as much room again, if it has fewer than ``n`` entries."""
     if len(a) >= n:
@@ -206,10 +224,8 @@ class PieceTable:
             todo, slot = todo[go], (slot[go] + 1) & ((1 << self.bits) - 1)
         return out
 
-    def add(self, h: np.ndarray, ids: list[list[int]]) -> None:
-        """Insert distinct new hashes."""
-        size = np.array([len(x) for x in ids], np.int32)
-        flat = np.fromiter(itertools.chain.from_iterable(ids), "<u4", int(size.sum()))
+    def add(self, h: np.ndarray, flat: np.ndarray, size: np.ndarray) -> None:
+        """Insert distinct new hashes; ``flat`` has the ids of all, ``size`` how many each has."""
         self.offset, self.length = _grown(self.offset, self.n + len(h)), _grown(self.length, self.n + len(h))
         self.ids = _grown(self.ids, self.used + len(flat))
         new = np.arange(self.n, self.n + len(h))
@@ -239,7 +255,8 @@ class Encoder:
     other characters, and between a letter or digit and the punctuation that
     ends a word. Texts are cut there, and every different piece is encoded by
     the library once and remembered under its 64-bit hash; the table starts
-    anew when half full. Texts with other white space go to the library whole.
+    anew when half full. New pieces go to the library many in one text, a
+    newline between any two. Texts with other white space go to it whole.
     """
 
     def __init__(self, path: str):
@@ -249,13 +266,31 @@ class Encoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.table = PieceTable()
-
-    def _library(self, texts: list[str]) -> list[list[int]]:
-        """Ids of texts, a few at a time: the library's own results take many times the ids' memory."""
-        out: list[list[int]] = []
-        for lo in range(0, len(texts), PIECES):
-            out.extend(e.ids for e in self.tok.encode_batch_fast(texts[lo : lo + PIECES], add_special_tokens=False))
-        return out
+        newline = self._library("\n")
+        self.newline = newline[0] if len(newline) == 1 else None
+
+    def _library(self, text: str) -> np.ndarray:
+        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def _pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of pieces without newlines, one after the other, and how many each has.
+
+        A few at a time: the library's own results take many times the ids'
+        memory. One by one, if newlines don't come back as one id each.
+        """
+        flat, size = [np.zeros(0, "<u4")], [np.zeros(0, np.int32)]
+        for lo in range(0, len(pieces), PIECES):
+            some = pieces[lo : lo + PIECES]
+            ids = self._library("\n".join(some))
+            ends = np.flatnonzero(ids == self.newline) if self.newline is not None else np.zeros(0, np.int64)
+            if len(ends) == len(some) - 1:
+                flat.append(np.delete(ids, ends))
+                size.append(np.diff(np.concatenate([[-1], ends, [len(ids)]])).astype(np.int32) - 1)
+            else:
+                each = [self._library(x) for x in some]
+                flat.extend(each)
+                size.append(np.array([len(x) for x in each], np.int32))
+        return np.concatenate(flat), np.concatenate(size)
 
     def _learn(self, h: np.ndarray, start: np.ndarray, end: np.ndarray, spaced: np.ndarray, raw: bytes) -> np.ndarray:
         """Entries of all pieces, after the library has encoded those that are new."""
@@ -269,20 +304,26 @@ class Encoder:
             while len(new) > 1 << (self.table.bits - 1):  # one text of very many pieces
                 self.table.bits += 1
             self.table.clear()
-        pieces = [(" " if sp else "") + raw[a:b].decode() for a, b, sp in zip(start[new].tolist(), end[new].tolist(), spaced[new].tolist())]
-        self.table.add(h[new], self._library(pieces))
+        pieces = [raw[a:b].decode() for a, b in zip((start[new] - spaced[new]).tolist(), end[new].tolist())]
+        if "\n" in pieces:
+            at = pieces.index("\n")
+            ids = self._library(pieces.pop(at))
+            self.table.add(h[new[at : at + 1]], ids, np.array([len(ids)], np.int32))
+            new = np.delete(new, at)
+        self.table.add(h[new], *self._pieces(pieces))
         return self.table.find(h)
 
     def encode_column(self, col: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each text of a column of large strings, and the end id."""
         end_id = np.array([END_ID], "<u4")
         for words in split_words(col, False, max_bytes=1 << 19):
-            texts = col.slice(words.lo, words.hi - words.lo).to_pylist()
-            odd = np.array([bool(_ODD.search(t)) for t in texts])
-            data, start, end = words.data, words.start, words.end
+            texts = col.slice(words.lo, words.hi - words.lo)
+            odd = _odd_rows(texts, words.data)
             row = np.repeat(np.arange(len(texts)), np.diff(words.bounds))
-            first = np.zeros(len(start), bool)
-            first[words.bounds[:-1][np.diff(words.bounds) > 0]] = True
+            plain = ~odd[row]
+            data, start, end, row = words.data, words.start[plain], words.end[plain], row[plain]
+            first = np.ones(len(row), bool)
+            first[1:] = row[1:] != row[:-1]
             before = data[np.maximum(start - 1, 0)]
             spaced, newline = ~first & (before == 0x20), ~first & (before == 0x0A)
             stop = end.copy()  # where the word's body ends and its punctuation starts
@@ -308,8 +349,8 @@ class Encoder:
             ids, n = self.table.ids_of(entry[here])
             each = np.bincount(np.repeat(row, 3)[here.ravel()], n, len(texts)).astype(np.int64)
             at = np.concatenate([[0], np.cumsum(each)])
-            for i, t in enumerate(texts):
-                mine = np.array(self._library([t])[0], "<u4") if odd[i] else ids[at[i] : at[i + 1]]
+            for i in range(len(texts)):
+                mine = self._library(texts[i].as_py()) if odd[i] else ids[at[i] : at[i + 1]]
                 yield np.concatenate([mine, end_id])
 
     def encode(self, text: str) -> np.ndarray:

@@ -1,10 +1,11 @@
 """Work that must grow with the corpus and not with its square."""
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 import pytest
 
-from cidrloom.llm import blocks, lm, neardup, substrings
+from cidrloom.llm import blocks, lm, neardup, planes, substrings
 
 from .test_edges import brute_near, brute_repeats
 
@@ -97,3 +98,34 @@ def test_counts_lose_no_link():
             assert 100 * len(a & b) >= percent * len(a | b)
             x, y = (np.bincount([v % neardup.RANGES for v in s], minlength=neardup.RANGES).astype(np.uint8)[None] for s in (a, b))
             assert neardup.may_link(x, y, np.array([len(a) + len(b)]), percent)[0]
+
+
+def test_new_pieces_go_to_the_library_together():
+    """Calls of the library grow with the bytes of new pieces, not with their number."""
+    enc = planes.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    tok, asked = enc.tok, []
+
+    class Counted:
+        def encode_batch_fast(self, texts, **kw):
+            asked.extend(texts)
+            return tok.encode_batch_fast(texts, **kw)
+
+    enc.tok = Counted()
+    rng = np.random.default_rng(11)
+    words = ["".join(rng.choice(list("abcdefghäß,.'<|>éж汉1"), rng.integers(1, 12))) for _ in range(6000)]
+    text = " ".join(w + "\n" + w for w in words)
+    got = enc.encode(text).tolist()
+    assert got == [*tok.encode(text, add_special_tokens=False).ids, 0]
+    assert len(asked) < 30
+    enc.newline, enc.table = None, planes.PieceTable()  # a library that gives no id of its own to a newline
+    assert enc.encode(text).tolist() == got
+    assert len(asked) > 6000
+
+
+def test_odd_white_space_is_found_without_reading_every_text():
+    texts = ["", "a b", " a", "a ", "a  b", "a\n b", "a\tb", "a b", "a\u0085b", "a b", "a　b", "a﻿b", "a᠎b", "a b", "a\x1fb", "\n", "ä\nö", "a’s", "é"]
+    every = [*texts, "".join(chr(c) for c in range(0x80, 0x100) if not chr(c).isspace())] + [f"x{chr(c)}y" for c in range(1, 0x10000) if not 0xD800 <= c < 0xE000]
+    for some in (every, every[::-1], every[1::3]):
+        col = pa.array(some, pa.large_string())
+        data = np.frombuffer("".join(some).encode(), np.uint8)
+        assert planes._odd_rows(col, data).tolist() == [bool(planes._ODD.search(t)) for t in some]
