@@ -5,12 +5,15 @@ least one segment of the shorter (or of either, at equal lengths) occurs
 unchanged in the other, near its own place. Each line is indexed by its
 segments under (length, segment number), and probes the indexes of its own and
 the next ``TAU`` smaller lengths with the few substrings whose place the
-remaining edits allow. Pairs that meet are verified by a banded bit-parallel
-edit distance. Lengths and edits count bytes of UTF-8; lines under
+remaining edits allow. Pairs that meet are told apart by sketches, which go
+with the keys: counts of 15 classes of bytes, of which an edit changes two by
+one at most. Pairs that may be links are verified on their texts by a banded
+bit-parallel edit distance. Lengths and edits count bytes of UTF-8; lines under
 ``MIN_BYTES`` are only equal to themselves.
 
 Equal lines are one node from the start. A key that more than ``HOT`` lines
-share is not expanded: its lines are keyed again by the segments of what is
+share is not expanded, unless ``HOT * BLOCKS`` lines at most share it and their
+sketches leave few pairs: its lines are keyed again by the segments of what is
 left of them without the shared segment and without the start and end that the
 whole group shares (these rests must also agree within ``TAU`` edits), and so
 on until no key is hot. A segment without bytes, which only rests of up to
@@ -39,12 +42,46 @@ from .workspace import bounded_batches, partitions, stash
 TAU = 2
 MIN_BYTES = 24
 HOT = 256
+#: Keys of up to so many times HOT lines are expanded if their sketches leave at most LEFT pairs a line.
+BLOCKS, LEFT = 16, 8
 #: Candidate lines whose hashes may be broadcast (8 bytes each); beyond it they are joined.
 MAX_BROADCAST_LINES = 200_000
 _NEWLINE = np.zeros(256, bool)
 _NEWLINE[0x0A] = True
 _MASK = (1 << 64) - 1
 PROBE, INDEX, LAST = 1, 2, 4
+#: A mark has a key's roles in its lowest bits and the line's sketch above them.
+_ROLES = 3
+_SKETCH = np.uint64((1 << 60) - 1)
+
+
+def _weights() -> np.ndarray:
+    """What each byte adds to a sketch: one in a counter of 4 bits, which may run over into the next."""
+    at = np.arange(256) % 15
+    for rank, letter in enumerate(" etaoinsrhdlucmfpgwybvkjxqz"):
+        for c in (letter, letter.upper()):
+            at[ord(c)] = rank if rank < 15 else 29 - rank
+    return np.uint64(1) << (at.astype(np.uint64) * np.uint64(4))
+
+
+_WEIGHT = _weights()
+#: Of each four counters, that hold 8 if two lines agree, by how much they differ.
+_DIFFER = sum(abs((np.arange(1 << 16) >> 4 * i & 15) - 8) for i in range(4)).astype(np.uint8)
+_EVEN = np.uint64(0x0888888888888888)
+
+
+def may_be_near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether lines of these sketches can be within TAU edits, each of which changes counts by two at most."""
+    d = np.ascontiguousarray((a - b + _EVEN) & _SKETCH | np.uint64(8 << 60))
+    far = _DIFFER[d.view(np.uint16).reshape(*d.shape, 4)]
+    return far[..., 0] + far[..., 1] + far[..., 2] + far[..., 3] <= 2 * TAU
+
+
+def sketches(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Sketch of each span of bytes."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_WEIGHT[data], out=sums[1:])
+    return (sums[end] - sums[start]) & _SKETCH
 
 
 def edits_within(a: bytes, b: bytes, limit: int = TAU) -> int | None:
@@ -123,22 +160,23 @@ def _line_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             h = _hash64([raw[s:e] for s, e in zip(words.start[use].tolist(), words.end[use].tolist())])
             h, one = np.unique(h, return_index=True)
             start, length = words.start[use][one], length[use][one]
-            keys, lines, roles = [], [], []
+            sketch = sketches(words.data, start, start + length).view(np.int64) << _ROLES
+            keys, lines, marks = [], [], []
             for i, gap, s, e, ok, role in _spans(length):
                 k = mix64(words.hashes((start + s)[ok], (start + e)[ok]) ^ _salt(i, (length - gap)[ok]))
                 keys.append(k)
                 lines.append(h[ok])
-                roles.append(np.full(len(k), role, np.int8))
+                marks.append(sketch[ok] | role)
             if len(h):
-                yield _keyed(np.concatenate(keys), np.concatenate(lines), np.concatenate(roles))
+                yield _keyed(np.concatenate(keys), np.concatenate(lines), np.concatenate(marks))
 
 
-_ROWS = pa.schema([("key", pa.int64()), ("line", pa.int64()), ("role", pa.int8())])
+_ROWS = pa.schema([("key", pa.int64()), ("line", pa.int64()), ("mark", pa.int64())])
 _REST_ROWS = pa.schema([*_ROWS, ("spot", pa.int64()), ("path", pa.binary())])
 
 
-def _keyed(key: np.ndarray, line: np.ndarray, role: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(line.view(np.int64)), pa.array(role)], schema=_ROWS)
+def _keyed(key: np.ndarray, line: np.ndarray, mark: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(line.view(np.int64)), pa.array(mark)], schema=_ROWS)
 
 
 def _without(raw: bytes, path: bytes) -> bytes:
@@ -167,11 +205,11 @@ def _rests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([*_ROWS, ("path", pa.binary()), ("rest", pa.binary()), ("back", pa.binary())])
     for b in batches:
         out = []
-        for key, line, role, path, text in zip(*(b.column(c).to_pylist() for c in ("key", "line", "role", "path", "line_text"))):
+        for key, line, mark, path, text in zip(*(b.column(c).to_pylist() for c in ("key", "line", "mark", "path", "line_text"))):
             raw = (text or "").encode()
             for p in set(_matching(raw, key)) if path is None else (path,):
                 rest = _without(raw, p)
-                out.append((key, line, role, p, rest, rest[::-1]))
+                out.append((key, line, mark, p, rest, rest[::-1]))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
 
@@ -188,8 +226,8 @@ def _rest_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Keys of the rests of a group, without the start and the end that all of them share."""
     for b in batches:
         out: list[tuple] = []
-        for key, line, role, path, rest, lo, hi, back_lo, back_hi, least in zip(
-            *(b.column(c).to_pylist() for c in ("key", "line", "role", "path", "rest", "lo", "hi", "back_lo", "back_hi", "least"))
+        for key, line, mark, path, rest, lo, hi, back_lo, back_hi, least in zip(
+            *(b.column(c).to_pylist() for c in ("key", "line", "mark", "path", "rest", "lo", "hi", "back_lo", "back_hi", "least"))
         ):
             start = _common(lo, hi)
             end = min(_common(back_lo, back_hi), least - start)
@@ -204,36 +242,43 @@ def _rest_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 k = mix64(_hash64([mid[s:e]]) ^ _salt(i, n - gap) ^ under).view(np.int64)[0]
                 cut = path + trim + _step_out((s, e))
                 # the first level's role limits the next one's
-                out.append((k, line, (own if role & INDEX else own & PROBE) | (0 if s < e else LAST), int(_hash64([cut]).view(np.int64)[0]), cut))
+                roles = (own if mark & INDEX else own & PROBE) | (0 if s < e else LAST)
+                out.append((k, line, mark >> _ROLES << _ROLES | roles, int(_hash64([cut]).view(np.int64)[0]), cut))
         if out:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), _REST_ROWS.types)], schema=_REST_ROWS)
 
 
 def _meet(most: int):
-    """Pairs of lines under equal keys; of keys with more than ``most`` lines, their rows.
+    """Pairs of lines under equal keys that may be links by their sketches; of hot keys, their rows.
 
-    Rows come sorted by (key, line). A group is held until its end, and given
-    on as it is as soon as it is hot, unless its keys are of empty segments.
+    Rows come sorted by (key, line). A key of up to ``most`` lines gives its
+    pairs; one of up to BLOCKS times as many does if they are few, and else is
+    hot, as any of more lines. A group is held until its end, and given on as
+    it is as soon as it is hot, unless its keys are of empty segments.
     """
-    schema = pa.schema([("hot", pa.bool_()), ("a", pa.int64()), ("b", pa.int64()), ("role", pa.int8()), ("path", pa.binary())])
+    schema = pa.schema([("hot", pa.bool_()), ("a", pa.int64()), ("b", pa.int64()), ("mark", pa.int64()), ("path", pa.binary())])
+    many = most * BLOCKS
 
     def paired(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
         n = len(a)
-        return pa.RecordBatch.from_arrays([pa.array(np.zeros(n, bool)), pa.array(a), pa.array(b), pa.array(np.zeros(n, np.int8)), pa.nulls(n, pa.binary())], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(np.zeros(n, bool)), pa.array(a), pa.array(b), pa.array(np.zeros(n, np.int64)), pa.nulls(n, pa.binary())], schema=schema)
 
-    def pairs(line: np.ndarray, role: np.ndarray) -> Iterator[pa.RecordBatch]:
-        index, line = np.unique(line[role & INDEX > 0]), np.unique(line)
+    def pairs(line: np.ndarray, mark: np.ndarray) -> Iterator[pa.RecordBatch]:
+        line, one, which = np.unique(line, return_index=True, return_inverse=True)
+        sketch = (mark[one] >> _ROLES).view(np.uint64)
+        index = np.unique(which[mark & INDEX > 0])
         for lo in range(0, len(index), 256):
-            x, y = np.repeat(index[lo : lo + 256], len(line)), np.tile(line, len(index[lo : lo + 256]))
+            x, y = np.nonzero(may_be_near(sketch[index[lo : lo + 256], None], sketch))
+            x = index[lo : lo + 256][x]
             new = x != y
             a, b = np.minimum(x, y)[new], np.maximum(x, y)[new]
             if len(a):
-                ab = np.unique(np.stack([a, b], 1), axis=0)
-                yield paired(ab[:, 0], ab[:, 1])
+                a, b = np.divmod(np.unique(a * len(line) + b), len(line))
+                yield paired(line[a], line[b])
 
     def rows(t: pa.Table) -> Iterator[pa.RecordBatch]:
         path = t.column("path") if "path" in t.column_names else pa.chunked_array([pa.nulls(t.num_rows, pa.binary())])
-        out = pa.table([pa.array(np.ones(t.num_rows, bool)), t.column("key"), t.column("line"), t.column("role"), path], schema=schema)
+        out = pa.table([pa.array(np.ones(t.num_rows, bool)), t.column("key"), t.column("line"), t.column("mark"), path], schema=schema)
         yield from out.to_batches(max_chunksize=1 << 16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,12 +289,12 @@ def _meet(most: int):
             """All groups of ``t``; its last one too only if it is ``whole``, else it is held."""
             nonlocal held, hot_key
             held = None
-            key, line, role = (t.column(c).to_numpy() for c in ("key", "line", "role"))
+            key, line, mark = (t.column(c).to_numpy() for c in ("key", "line", "mark"))
             if hot_key is not None:
                 n = int(np.searchsorted(key != hot_key, True))
                 if n:
                     yield from rows(t.slice(0, n))
-                    t, key, line, role = t.slice(n), key[n:], line[n:], role[n:]
+                    t, key, line, mark = t.slice(n), key[n:], line[n:], mark[n:]
                 if len(key):
                     hot_key = None
             if not len(key):
@@ -258,10 +303,10 @@ def _meet(most: int):
             ends = np.append(cut[1:], len(key))
             fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (line[1:] != line[:-1])])
             lines = np.add.reduceat(fresh.astype(np.int64), cut)
-            last = np.bitwise_or.reduceat(role, cut) & LAST > 0
+            last = np.bitwise_or.reduceat(mark, cut) & LAST > 0
             if not whole:
                 x = int(cut[-1])
-                if lines[-1] > most and not last[-1]:
+                if lines[-1] > many and not last[-1]:
                     yield from rows(t.slice(x))
                     hot_key = int(key[-1])
                 else:
@@ -269,16 +314,23 @@ def _meet(most: int):
                 cut, ends, lines, last = cut[:-1], ends[:-1], lines[:-1], last[:-1]
             two = np.flatnonzero((lines == 2) & (ends - cut == 2))
             x, y = cut[two], cut[two] + 1
-            meet = (role[x] | role[y]) & INDEX > 0
+            meet = (mark[x] | mark[y]) & INDEX > 0
+            meet &= may_be_near(*((mark[z] >> _ROLES).view(np.uint64) for z in (x, y)))
             if meet.any():
                 x, y = line[x][meet], line[y][meet]
                 yield paired(np.minimum(x, y), np.maximum(x, y))
             for g in np.flatnonzero((lines > 1) & ~((lines == 2) & (ends - cut == 2))).tolist():
                 x, y = int(cut[g]), int(ends[g])
-                if lines[g] > most and not last[g]:
-                    yield from rows(t.slice(x, y - x))
-                else:
-                    yield from pairs(line[x:y], role[x:y])
+                if lines[g] <= most or last[g]:
+                    yield from pairs(line[x:y], mark[x:y])
+                    continue
+                found, left = [], LEFT * int(lines[g]) if lines[g] <= many else -1
+                for batch in pairs(line[x:y], mark[x:y]) if left >= 0 else ():
+                    found.append(batch)
+                    left -= batch.num_rows
+                    if left < 0:
+                        break
+                yield from found if left >= 0 else rows(t.slice(x, y - x))
 
         for b in batches:
             if b.num_rows:
@@ -302,7 +354,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _lines_of(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
-    blank = F.trim(F.translate("line_text", "\t\r\x0b\x0c", "    ")) == ""
+    blank = F.ltrim("line_text", F.lit(" \t\r\x0b\x0c")) == ""
     return docs.select("doc_id", F.xxhash64("text").alias("version"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line_text")).select(
         "doc_id", "version", "line_no", F.xxhash64("line_text").alias("h1"), F.xxhash64("line_text", F.lit(1)).alias("h2"), blank.alias("blank")
     )
@@ -334,21 +386,21 @@ def line_links(docs: DataFrame, occurrences: DataFrame) -> tuple[DataFrame, Data
 
     def met(keys: DataFrame) -> DataFrame:
         placed = keys.repartition(n, "key").sortWithinPartitions("key", "line")
-        return stash(placed.mapInArrow(_meet(HOT), "hot boolean, a long, b long, role byte, path binary"), "met")
+        return stash(placed.mapInArrow(_meet(HOT), "hot boolean, a long, b long, mark long, path binary"), "met")
 
-    found = met(docs.select("text").mapInArrow(_line_keys, "key long, line long, role byte"))
+    found = met(docs.select("text").mapInArrow(_line_keys, "key long, line long, mark long"))
     pairs = found.filter("not hot").select("a", "b")
     while True:
-        hot = found.filter("hot").select(F.col("a").alias("key"), F.col("b").alias("line"), "role", "path")
+        hot = found.filter("hot").select(F.col("a").alias("key"), F.col("b").alias("line"), "mark", "path")
         if hot.isEmpty():
             break
         texts = _texts(docs, lines, hot.select(F.col("line").alias("h1"))).select("h1", "line_text")
-        rests = hot.join(texts, hot["line"] == texts["h1"]).select("key", "line", "role", "path", "line_text")
-        rests = stash(rests.mapInArrow(_rests, "key long, line long, role byte, path binary, rest binary, back binary"), "rests")
+        rests = hot.join(texts, hot["line"] == texts["h1"]).select("key", "line", "mark", "path", "line_text")
+        rests = stash(rests.mapInArrow(_rests, "key long, line long, mark long, path binary, rest binary, back binary"), "rests")
         ends = [f("rest").alias(a) for a, f in (("lo", F.min), ("hi", F.max))] + [f("back").alias(f"back_{a}") for a, f in (("lo", F.min), ("hi", F.max))]
-        groups = rests.groupBy("key").agg(*ends, F.min(F.length("rest")).alias("least"), F.max(F.col("role").bitwiseAND(INDEX)).alias("_any"))
+        groups = rests.groupBy("key").agg(*ends, F.min(F.length("rest")).alias("least"), F.max(F.col("mark").bitwiseAND(INDEX)).alias("_any"))
         keyed = rests.drop("back").join(_small(groups.filter("_any > 0").drop("_any"), "groups"), "key")  # probes alone meet nobody
-        found = met(keyed.mapInArrow(_rest_keys, "key long, line long, role byte, spot long, path binary").dropDuplicates(["key", "line", "spot"]))
+        found = met(keyed.mapInArrow(_rest_keys, "key long, line long, mark long, spot long, path binary").dropDuplicates(["key", "line", "spot"]))
         pairs = pairs.unionByName(found.filter("not hot").select("a", "b"))
     pairs = stash(pairs.distinct(), "line-pairs")
     texts = _texts(docs, lines, pairs.select(F.col("a").alias("h1")).unionByName(pairs.select(F.col("b").alias("h1"))))

@@ -5,7 +5,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 
-from cidrloom.llm import blocks, lm, neardup, planes, substrings
+from cidrloom.llm import blocks, linededup, lm, neardup, planes, substrings
 
 from .test_edges import brute_near, brute_repeats
 
@@ -129,3 +129,40 @@ def test_odd_white_space_is_found_without_reading_every_text():
         col = pa.array(some, pa.large_string())
         data = np.frombuffer("".join(some).encode(), np.uint8)
         assert planes._odd_rows(col, data).tolist() == [bool(planes._ODD.search(t)) for t in some]
+
+
+def test_lines_that_share_a_segment_are_told_apart_by_sketches(spark, monkeypatch):
+    """Lines that share a third of their bytes, but are no links, give no candidates, in hot keys neither; links stay."""
+    rng = np.random.default_rng(13)
+    seen, stash = {}, linededup.stash
+
+    def counted(df, label):
+        out = stash(df, label)
+        if label in ("line-pairs", "rests"):
+            seen[label] = out.count()
+        return out
+
+    monkeypatch.setattr(linededup, "stash", counted)
+    lines = ["a common start " + "".join(rng.choice(list("etaoin shrdlu"), 27)) + str(i % 7) + "." for i in range(400)]
+    lines += [x[:20] + "#" + x[21:] for x in lines[:30]] + [x[:30] + x[31:] for x in lines[30:60]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "doc_id long, text string")
+    near = [sum(linededup.edits_within(a.encode(), b.encode()) is not None for j, b in enumerate(lines) if i != j) for i, a in enumerate(lines)]
+    for hot in (linededup.HOT, 64):
+        seen.clear()
+        monkeypatch.setattr(linededup, "HOT", hot)
+        assert {r.doc_id: r.n_links for r in linededup.dedup_lines(df).collect()} == dict(enumerate(near))
+        assert 60 <= seen["line-pairs"] < 400 and "rests" not in seen
+
+
+def test_sketches_lose_no_link():
+    rng = np.random.default_rng(17)
+    for size in (24, 70, 400, 5000):
+        for letters in (list(b"ab"), list(range(256))):
+            a = rng.choice(letters, size).astype(np.uint8).tobytes()
+            for _ in range(60):
+                b = bytearray(a)
+                for _ in range(linededup.TAU):
+                    at, c = int(rng.integers(0, len(b))), bytes([rng.choice(letters)])
+                    b[at : at + int(rng.integers(0, 2))] = c if rng.random() < 0.7 else b""
+                x, y = (linededup.sketches(np.frombuffer(bytes(t), np.uint8), np.array([0]), np.array([len(t)])) for t in (a, b))
+                assert linededup.may_be_near(x, y)[0] and linededup.may_be_near(y, x)[0]
