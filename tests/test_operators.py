@@ -291,6 +291,34 @@ def test_lookup_splits_hot_shards(spark, monkeypatch):
     assert [w for w in whole if w[0] > 90] == [(97, 0, None, None, None), (98, 5 << 24, 5 << 24, 32, 2), (99, None, None, None, None)]
 
 
+def test_folds_take_inserts_of_a_prefix_together(spark):
+    rng = random.Random(9)
+    rows = []
+    for seq in range(200):
+        plen = rng.choice([0, 8, 20, 24, 26])
+        lo = (1 << 24) + rng.randrange(1 << 13) >> (32 - plen) << (32 - plen)
+        n = rng.choice([None, (None, None), (rng.randrange(9), rng.choice([None, "x", "y"]))])
+        rows.append((seq, lo, plen, rng.choice([None, 1, 2, 3]), rng.choice([None, (n, None), (n, seq)])))
+    log = spark.createDataFrame(rows, "seq long, lo long, plen int, v int, val struct<n:struct<p:int,q:string>,c:int>").repartition(3)
+    segs = overlay.segments(log)
+    pairs = [("v", overlay.Unordered(F.max), lambda a, b: F.greatest(a, b)), ("v", overlay.Unordered(F.sum), lambda a, b: F.when(b.isNull(), a).otherwise(F.coalesce(a, F.lit(0)) + b))]
+    for value, how, slow in [*pairs, ("val", "deep", "deep"), ("val", "top_level", "top_level")]:
+        got = overlay.fold(log, [value], how)
+        assert "collect_list" not in got._jdf.queryExecution().toString()
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, overlay.ordered_fold(segs, log, value, slow).collect()))
+        hot = log.filter("plen = 0").limit(1).join(spark.range(50)).select("id", "lo", "plen", "v", "val").withColumnRenamed("id", "seq")
+        assert overlay.fold(hot, [value], how).count() <= 1
+
+
+@pytest.mark.parametrize("name", ["i6_range_pure_function", "i3_overlay_custom", "i3_overlay_deep_merge", "i3_overlay_toplevel_merge"])
+def test_queries_do_not_gather_all_covering_inserts(spark, name):
+    from cidrloom import queries
+
+    plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    # one row of a prefix meets a segment: the log's side of the join is an aggregate by prefix
+    assert "collect_list" not in plan and "Aggregate [plen" in plan and "Window [max(" not in plan
+
+
 def test_audits(spark):
     records = spark.createDataFrame([(0, 1, "a"), (1 << 31, 2, "b"), (3 << 30, 2, "b")], "lo long, plen int, v string")
     assert {r.check: r.n for r in audit.violations(records, "v").collect()} == {"misaligned": 0, "overlap": 0, "mergeable": 1, "uncovered": 0}
