@@ -14,8 +14,9 @@ from ..functions.addr import ipv4_prefix_text
 from ..functions.space import IPV4_DEPTH, V4, V6, Space, halves, wide
 from .special import embedded_ipv4
 
-#: Probes of one shard that a task takes; a shard with more is split, with its records in each part.
-HOT_PROBES = 4_000_000
+#: Probes of one shard that a task takes; a shard with more is split, with its records in each part,
+#: into parts of as many probes as it has records at least, so that these copies are no more than the probes.
+HOT_PROBES = 250_000
 
 
 def lookup(probes: DataFrame, records: DataFrame, ip: str = "ip", how: str = "inner", splits: int | None = None, space: Space = V4) -> DataFrame:
@@ -23,8 +24,8 @@ def lookup(probes: DataFrame, records: DataFrame, ip: str = "ip", how: str = "in
 
     Records are disjoint, so the one that starts last at or before an address is
     the only candidate: a merge of both tables in address order within shards
-    of the leading address bits, to which each shard's first probes bring the
-    last record of the shards before. With ``how`` left, probes without a record
+    of the leading address bits, each with the last record of the shards before
+    as its first row; nothing is sent again by shard alone, which would undo the splits. With ``how`` left, probes without a record
     keep nulls, and so do null addresses. ``splits`` spreads each shard's probes
     over so many tasks, with its records in each; by default that is done, by
     count, for shards of more than ``HOT_PROBES`` probes.
@@ -38,8 +39,16 @@ def lookup(probes: DataFrame, records: DataFrame, ip: str = "ip", how: str = "in
         p = p.withColumn("_at", F.col("_at").cast("long"))
     p = p.withColumn("_shard", F.coalesce(space.shard(F.col("_at")), F.lit(-1)))
     part = F.pmod(F.xxhash64("_row"), F.col("_n")).cast("int").alias("_split")
+    # the filters ask for every column, so that all readers of these two tables read one exchange
+    shards = r.groupBy("_shard").agg(F.max_by("_rec", "_at").alias("_last"), F.count(F.lit(1)).alias("_r")).filter("_last is not null and _r > 0")
+    probed = p.groupBy("_shard").agg(F.count(F.lit(1)).alias("_c")).filter("_c > 0")
+    along = Window.partitionBy(F.lit(0)).orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
+    wanted = shards.select("_shard", "_last").unionByName(probed.select("_shard"), allowMissingColumns=True).groupBy("_shard").agg(F.first("_last", ignorenulls=True).alias("_last"))
+    before = wanted.select("_shard", F.last("_last", ignorenulls=True).over(along).alias("_rec")).filter("_rec is not null")
+    r = r.unionByName(before.select("_shard", F.col("_rec.lo").alias("_at"), F.lit(0).alias("_kind"), "_rec"))
     if splits is None:
-        hot = p.groupBy("_shard").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > HOT_PROBES).select("_shard", F.ceil(F.col("c") / HOT_PROBES).cast("int").alias("_n"))
+        hot = probed.filter(F.col("_c") > HOT_PROBES).join(shards.select("_shard", "_r"), "_shard", "left")
+        hot = hot.select("_shard", F.ceil(F.col("_c") / F.greatest(F.lit(HOT_PROBES), F.coalesce("_r", F.lit(0)))).cast("int").alias("_n"))
         hot = F.broadcast(hot)  # a row for every HOT_PROBES probes at most
         r, p = (x.join(hot, "_shard", "left").withColumn("_n", F.coalesce("_n", F.lit(1))) for x in (r, p))
     else:
@@ -48,13 +57,7 @@ def lookup(probes: DataFrame, records: DataFrame, ip: str = "ip", how: str = "in
     r = r.select("_shard", "_at", "_kind", "_rec", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_split"))
     both = r.unionByName(p, allowMissingColumns=True)
     w = Window.partitionBy("_shard", "_split").orderBy("_at", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    shards = records.groupBy(space.shard(F.col("lo")).alias("_shard")).agg(F.max_by(rec, "lo").alias("_last"))
-    wanted = shards.unionByName(p.select("_shard").distinct(), allowMissingColumns=True).groupBy("_shard").agg(F.first("_last", ignorenulls=True).alias("_last"))
-    along = Window.partitionBy(F.lit(0)).orderBy("_shard").rowsBetween(Window.unboundedPreceding, -1)
-    before = wanted.select("_shard", F.last("_last", ignorenulls=True).over(along).alias("_before"))
-    before = F.broadcast(before) if space.bits == 32 else before  # at most 65,537 rows
-    found = both.withColumn("_rec", F.last("_rec", ignorenulls=True).over(w)).filter("_kind = 1").join(before, "_shard")
-    found = found.withColumn("_rec", F.coalesce("_rec", "_before"))
+    found = both.withColumn("_rec", F.last("_rec", ignorenulls=True).over(w)).filter("_kind = 1")
     holds = space.end(F.col("_rec.lo"), F.col("_rec.plen")) > F.col("_at")
     if how == "inner":
         found = found.filter(holds)

@@ -291,6 +291,25 @@ def test_lookup_splits_hot_shards(spark, monkeypatch):
     assert [w for w in whole if w[0] > 90] == [(97, 0, None, None, None), (98, 5 << 24, 5 << 24, 32, 2), (99, None, None, None, None)]
 
 
+def test_lookup_keeps_hot_shards_split(spark, monkeypatch):
+    """Rows of one shard of the wide space end in the tasks that they were split to, next to records of the shards before."""
+    wide = "struct<c:int,h:bigint,l:bigint>"
+    at = lambda i: f"named_struct('c', 0, 'h', {0x2400 << 48} ^ {-1 << 63}, 'l', {i} ^ {-1 << 63})"
+    records = spark.sql(f"select cast({at(0)} as {wide}) as lo, 120 as plen, 1 as v union all select named_struct('c', 0, 'h', {-1 << 63}, 'l', {-1 << 63}), 2, 2")
+    probes = spark.range(0, 400, 1, 3).selectExpr("cast(id as int) as id", f"cast({at('id')} as {wide}) as ip")
+    monkeypatch.setattr(lookup, "HOT_PROBES", 20)
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        found = lookup.lookup(probes, records, how="left", space=V6).select("id", "v", F.spark_partition_id().alias("task")).collect()
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+    assert sorted((r.id, r.v) for r in found) == [(i, 1 if i < 256 else None) for i in range(400)]
+    assert len({r.task for r in found}) > 1
+
+
 def test_folds_take_inserts_of_a_prefix_together(spark):
     rng = random.Random(9)
     rows = []
